@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw
+from . import ctw, lines, quality
 from .common import read
 
 
@@ -12,5 +12,13 @@ def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_context_tree_scores": op1_context_tree_scores}
+def op2_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_texts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
+def op3_reversible_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup)}
 ORACLES: dict[str, str] = {}
