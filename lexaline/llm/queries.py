@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, lines, quality
+from . import ctw, lines, mixing, quality
 from .common import read
 
 
@@ -20,5 +20,9 @@ def op3_reversible_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup)}
+def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup, op10_sainte_lague_mix)}
 ORACLES: dict[str, str] = {}
