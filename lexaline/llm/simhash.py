@@ -124,13 +124,11 @@ def meet(bits: int, hot: int):
         def groups(last: bool):
             """Handle all ended groups; keep the one that may go on, unless it is hot: its rows go on as they come."""
             nonlocal key, place, prints, sent
-            if not len(key):
-                return
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))
-            ends = np.append(new[1:], len(key))
-            open_at = len(key) if last else new[-1]
+            new = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(place, prepend=-1) != 0))
+            ends = np.append(new[1:], len(key))[: len(new)]
+            open_at = len(key) if last or not len(key) else new[-1]
             size = ends - new
-            size[0] += (place[0], key[0]) == sent  # what goes on is no single row
+            size[:1] += len(key) > 0 and (place[0], key[0]) == sent  # what goes on is no single row
             for s, e in zip(new[size > 1].tolist(), ends[size > 1].tolist(), strict=True):
                 if e - s > hot or s == 0 and (place[0], key[0]) == sent:
                     yield rows(prints[s:e], None, key[s:e], place[s:e])
