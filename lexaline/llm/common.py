@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Stored bytes of a table for each chunk.
 CHUNK_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,10 +37,18 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: later plans start from files, not from df's lineage."""
+    """df written as Parquet to the shared folder and read again: later plans start from files, not from df's lineage.
+
+    The write's shuffle files go when it ends, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = folder or work_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
