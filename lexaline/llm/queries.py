@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, lines, mixing, quality, secrets, simhash, warc
+from . import classifier, ctw, lines, mixing, quality, secrets, simhash, warc
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup, op5_deletion_variant_simhash, op6_warc_segments, op9_secret_ownership, op10_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup, op4_fourier_quality, op5_deletion_variant_simhash, op6_warc_segments, op9_secret_ownership, op10_sainte_lague_mix)}
 ORACLES: dict[str, str] = {}
