@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, ctw, decontaminate, lines, mixing, quality, secrets, simhash, warc
+from . import classifier, ctw, decontaminate, lines, mixing, passages, quality, secrets, simhash, warc
 from .common import read
 
 
@@ -40,9 +40,13 @@ def op7_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.drop_passages(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup, op4_fourier_quality, op5_deletion_variant_simhash, op6_warc_segments, op7_bm25_leaks, op9_secret_ownership, op10_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup, op4_fourier_quality, op5_deletion_variant_simhash, op6_warc_segments, op7_bm25_leaks, op8_phrase_automata, op9_secret_ownership, op10_sainte_lague_mix)}
 ORACLES: dict[str, str] = {}
