@@ -1,9 +1,10 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted texts and the raw corpus.
 
-Words and pairs of neighbouring words are hashed to BUCKETS buckets.  Two multinomials with additive
-smoothing are counted over whole tables: one of the trusted documents, one of all documents.  A
-document's ratio is the mean over its n-grams of log(trusted share / raw share), and every document is
-kept or rejected by one fixed threshold; nothing is drawn at random.  The base rules come first: too
+Words and pairs of neighbouring words are hashed to BUCKETS buckets.  Two multinomials are counted over
+whole tables: one of the trusted documents, one of all documents.  A document's ratio is the mean over its
+n-grams of log(trusted share / raw share), and every document is kept or rejected by one fixed threshold;
+nothing is drawn at random.  Both shares are smoothed by SMOOTHING trusted occurrences in proportion, so that
+a rare n-gram says little: it must not count against a document that nobody has labelled.  The base rules come first: too
 few words, or too many words in repeated three-word windows.
 
 One pass counts (a row per bucket, partly summed in each task), one pass scores.  Only the table of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 
-BUCKETS, SMOOTHING, THRESHOLD, MIN_WORDS, MAX_REPEATED = 1 << 16, 1.0, -0.13, 50, 50
+BUCKETS, SMOOTHING, THRESHOLD, MIN_WORDS, MAX_REPEATED = 1 << 16, 5.0, -0.13, 50, 50
 #: Hashes of words that a task remembers before it starts anew.
 MEMORY = 1 << 20
 SYMBOLS = re.compile(rb"[#*$%&|<>]+")
@@ -116,8 +117,9 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     """log(trusted share / raw share) of each bucket; all zero where one of the two has no words.
 
     trusted has the ids of trusted documents in its first column; nulls and repeats there do no harm.
+    They grow with the corpus, so the join is by shuffle at every size.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(True))
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(True)).hint("merge")
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     rows = own.mapInArrow(count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -125,8 +127,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     good[rows["bucket"].to_numpy()] = rows["trusted"].to_numpy()
     if not raw.sum() or not good.sum():
         return np.zeros(BUCKETS)
-    share = lambda n: (n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)
-    return np.log(share(good) / share(raw))
+    expected = raw * (good.sum() / raw.sum())
+    return np.log((good + SMOOTHING) / (expected + SMOOTHING))
 
 
 def judge_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -141,3 +143,19 @@ def judge_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     id_type = docs.schema[doc_id].dataType.simpleString()
     out = f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge(ratios, threshold), out)
+
+
+def passing(ratios, column: int, threshold: float):
+    def run(batches):
+        judged = judge(ratios, threshold)
+        for x in batches:
+            verdict = next(judged([pa.RecordBatch.from_arrays([x.column(column), x.column(column)], ["doc_id", "text"])]))
+            yield x.filter(verdict.column(NAMES.index("kept") + 1))
+
+    return run
+
+
+def keep_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that judge_texts() keeps."""
+    ratios = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, trusted, doc_id, text))
+    return docs.mapInArrow(passing(ratios, docs.columns.index(text), threshold), docs.schema)
