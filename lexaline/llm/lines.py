@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,6 +194,14 @@ def rewrite(docs: pa.Table, decisions: pa.Table, min_chars: int) -> pa.Table:
     return pa.table([docs["doc_id"], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
 
 
+def rewrite_rows(docs: pa.Table, decisions: pa.Table, min_chars: int, text: str, length: str | None) -> pa.Table:
+    """The chunk's rows with the text that is left, and its code points in the column `length`."""
+    left = rewrite(docs, decisions, min_chars)["kept_text"]
+    out = docs.drop_columns(["chunk", "doc_id", "text"])
+    out = out.set_column(out.column_names.index(text), text, pa.compute.if_else(pa.compute.is_null(docs["text"]), docs["text"], left))
+    return out.set_column(out.column_names.index(length), length, pa.compute.utf8_length(out[text]).cast(pa.int64())) if length else out
+
+
 class LineIndex:
     """An index of the lines of documents that can grow and shrink."""
 
@@ -225,15 +234,36 @@ class LineIndex:
         self._apply(docs if "text" in docs.columns else docs.withColumn("text", F.lit(None).cast("string")), True)
         return self
 
+    def decisions(self) -> DataFrame:
+        """By chunk: the keys that lose lines, with the doc_id that keeps them."""
+        return self.references.groupBy("shard").applyInArrow(partial_of(decide, self.min_docs), "chunk int, rows binary")
+
     def apply(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_text, kept_sha256 of documents under the index as it is."""
-        decisions = self.references.groupBy("shard").applyInArrow(partial_of(decide, self.min_docs), "chunk int, rows binary")
+        decisions = self.decisions()
         id_type = docs.schema["doc_id"].dataType.simpleString()
         out = f"doc_id {id_type}, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
         min_chars = self.min_chars
         return self._chunked(docs).groupBy("chunk").cogroup(decisions.groupBy("chunk")).applyInArrow(lambda a, b: rewrite(a, b, min_chars), out)
 
 
+def dedup_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents, with all their columns, without the lines that other documents keep.
+
+    A null text stays null; the column `length`, if there is one, gets the code points that are left.
+    """
+    length = length if length in docs.columns else None
+    index = LineIndex(docs.sparkSession, chunk_count(docs), parts(docs.sparkSession), min_chars=min_chars, min_docs=min_docs)
+    index.insert(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    # the operator's own columns go beside the table's, whose names stay as they are
+    names = docs.columns
+    inner = docs.toDF(*(f"c_{i}" for i in range(len(names)))).withColumns({"doc_id": F.col(f"c_{names.index(doc_id)}"), "text": F.col(f"c_{names.index(text)}")})
+    own = inner.withColumn("chunk", chunk_of("doc_id", "text", index.chunks))
+    schema = docs.toDF(*(f"c_{i}" for i in range(len(names)))).schema
+    at, size = f"c_{names.index(text)}", f"c_{names.index(length)}" if length else None
+    return own.groupBy("chunk").cogroup(index.decisions().groupBy("chunk")).applyInArrow(lambda a, b: rewrite_rows(a, b, min_chars, at, size), schema).toDF(*names)
+
+
 def partial_of(f, value):
     return lambda table: f(table, value)
 

@@ -88,20 +88,21 @@ def _order(name: str | None):
     return (name is None, [] if name is None else [ord(c) for c in name])
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, keep_columns: bool = False) -> DataFrame:
     """How many words the mix takes of every document.
 
     Returns doc_id, size, source_size, target, taken, source, shard, quota (blocks of its shard).  size is
     the number of words (null: 0).  taken counts repeats, is at most cap times size, and is 0 for a
     document without words; a source without words has target 0.  Null is a source like any other.  Rows
     with the same doc_id, or none, are each a document; their order in the shard is settled by text.
-    Other columns are ignored.  An empty table gives no rows.  The same rows give the same result in
-    whatever order they come.
+    An empty table gives no rows.  The same rows give the same result in whatever order they come.  Other
+    columns are ignored; with keep_columns the rows of docs come with all their columns, followed by size,
+    source_size, target and taken, and must then have no column of these names.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text))).alias("draw"))
-    own = keep(own)
+    numbers = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text))).alias("draw")]
+    own = keep(docs.select(*numbers))
     per = sorted(own.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect(), key=lambda r: _order(r["source"]))
     shares = targets([r["size"] for r in per], [weights[i % len(weights)] for i in range(len(per))], cap)
     dealt = spark.createDataFrame([(r["source"], int(r["size"]), t, min(MAX_SHARDS, -(-r["docs"] // shard_docs))) for r, t in zip(per, shares, strict=True)], T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.LongType())]))
@@ -127,4 +128,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         return F.lit(block) * (whole * k + extra(k)) + (F.col(x) - k * block) * (whole + extra(k + 1) - extra(k))
 
     at = at.withColumn("begin", F.col("end") - F.col("size"))
-    return at.select("doc_id", "size", "source_size", "target", (before("end") - before("begin")).cast("long").alias("taken"), "source", "shard", "quota")
+    out = at.select("doc_id", "size", "source_size", "target", (before("end") - before("begin")).cast("long").alias("taken"), "source", "shard", "quota", "draw")
+    if not keep_columns:
+        return out.drop("draw")
+    # each row's share comes back by the numbers that gave it its place, and its count among rows that share them
+    marks = ["doc_id", "source", "size", "draw"]
+    nth = F.row_number().over(Window.partitionBy(*marks).orderBy(F.lit(1)))
+    drawn = docs.select(F.struct(*docs.columns).alias("row"), *numbers)
+    a, b = drawn.withColumn("nth", nth), out.withColumn("nth", nth).withColumnsRenamed({c: f"_{c}" for c in (*marks, "nth")})
+    joined = a.join(b, [a[c].eqNullSafe(b[f"_{c}"]) for c in (*marks, "nth")])
+    return joined.select("row.*", a["size"], "source_size", "target", "taken")

@@ -89,6 +89,14 @@ def linked(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.nonzero(np.triu(np.bitwise_count(p[:, None] ^ p[None, :]) <= bits, 1))
         return p[i], p[j]
     p = np.sort(p)
+    if bits > 2:  # too many neighbours to look up: compare, some rows at a time
+        a, b = [p[:0]], [p[:0]]
+        for at in range(0, len(p), FEW):
+            i, j = np.nonzero(np.bitwise_count(p[at : at + FEW, None] ^ p[None, at:]) <= bits)
+            i, j = i[i < j] + at, j[i < j] + at
+            u, v = forest(np.concatenate((*a, p[i])), np.concatenate((*b, p[j])))
+            a, b = [u], [v]
+        return a[0], b[0]
     free = int(np.bitwise_or.reduce(p ^ p[0]))  # only bits that differ in the group can be turned
     turns = [np.uint64(1 << i) for i in range(64) if free >> i & 1]
     a, b = [], []
@@ -214,3 +222,52 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = keep(classed.join(least, "root").select("print", "component_id"))
     return own.join(answer, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def sketch(hashes: list[int], size: int) -> np.ndarray:
+    """The least `size` distinct hashes; all of them if there are fewer."""
+    return np.unique(np.array(hashes, np.uint64))[:size]
+
+
+def sketches(width: int, size: int):
+    def run(batches):
+        for x in batches:
+            own = [sketch(text_hashes(t, width), size).tobytes() for t in texts_of(x.column(2))]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(own, pa.binary())], ["doc_id", "component_id", "sketch"])
+
+    return run
+
+
+def alike(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of two shingle sets from their least hashes; exact for sets that a sketch holds whole."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.union1d(x, y)[:size]
+    return len(np.intersect1d(np.intersect1d(x, both), y)) / len(both) if len(both) else 1.0
+
+
+def too_alike(similarity: float, size: int):
+    def run(batches):
+        for x in batches:
+            keep_ = [alike(a, b, size) >= similarity for a, b in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep_, pa.bool_()))], ["doc_id"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 7, width: int = 5, similarity: float = 0.8, size: int = 512) -> DataFrame:
+    """Documents, with all their columns, without those that are near copies of one that stays.
+
+    Groups are near_duplicates() over shingles of `width` words; the least doc_id of a group stays, and of
+    the others those go whose similarity to it is `similarity` or more.  A document without an id stays.
+    Rows that share a doc_id are one document and stay or go together.
+    """
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    marks = near_duplicates(docs, doc_id, text, bits, width).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    marks = keep(marks)
+    others = marks.where("doc_id <> component_id")
+    members = others.unionByName(others.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(members, "doc_id").select("doc_id", "component_id", "text")
+    drawn = keep(own.mapInArrow(sketches(width, size), f"doc_id {id_type}, component_id {id_type}, sketch binary"))
+    stays = drawn.where("doc_id = component_id").dropDuplicates(["component_id"]).select("component_id", F.col("sketch").alias("first"))
+    gone = drawn.where("doc_id <> component_id").join(stays, "component_id").select("doc_id", "sketch", "first").mapInArrow(too_alike(similarity, size), f"doc_id {id_type}")
+    return docs.join(keep(gone.distinct()).withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")
