@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that are stripped. U+00A0, U+2007 and U+202F are not among them.
-WHITESPACE = r"[\t-\r\x1c-\x20  -  -    　]"
+WHITESPACE = r"[\t-\r\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
 PYTHON_WHITESPACE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000]))
 
 
 def strip(raw: Column) -> Column:
-    return F.regexp_replace(raw, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(raw, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
 
 
 def normalize(raw: Column) -> Column:
