@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Metric = Callable[[Column, Column], Column]
 
@@ -27,12 +28,12 @@ def rows_of(a: list[int], b: list[int]) -> list[list[int]]:
     return table
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _distance_in_units(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else rows_of(in_units(x), in_units(y))[-1][-1] for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def _table(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else rows_of(in_units(x), in_units(y)) for x, y in zip(a, b, strict=True)])
 
