@@ -56,10 +56,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunk_count(table: DataFrame, stored: int = CHUNK_BYTES) -> int:
-    """Chunks for a table, from the size that the planner has of it."""
+def chunk_count(table: DataFrame, text: str = "text", stored: int = CHUNK_BYTES) -> int:
+    """Chunks for a table, from the size that the planner has of it; from its texts where the planner has none."""
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(parts(table.sparkSession), math.ceil(min(size, 1 << 60) / stored))
+    if size >= 1 << 50:
+        size = table.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(parts(table.sparkSession), math.ceil(size / stored))
 
 
 def chunk_of(doc_id: str, text: str, chunks: int):

@@ -315,7 +315,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     are scored once each.  An empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    chunks, shards = chunk_count(docs), parts(spark)
+    chunks, shards = chunk_count(docs, text), parts(spark)
     id_type = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held(doc_id, held_remainder).alias("held_out"), chunk_of(doc_id, text, chunks).alias("chunk"))
     ends = own.where(~F.col("held_out")).count()

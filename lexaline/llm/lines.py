@@ -253,7 +253,7 @@ def dedup_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     A null text stays null; the column `length`, if there is one, gets the code points that are left.
     """
     length = length if length in docs.columns else None
-    index = LineIndex(docs.sparkSession, chunk_count(docs), parts(docs.sparkSession), min_chars=min_chars, min_docs=min_docs)
+    index = LineIndex(docs.sparkSession, chunk_count(docs, text), parts(docs.sparkSession), min_chars=min_chars, min_docs=min_docs)
     index.insert(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     # the operator's own columns go beside the table's, whose names stay as they are
     names = docs.columns
@@ -276,5 +276,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     as one document, and each is returned.  Other columns are ignored.  An empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    index = LineIndex(docs.sparkSession, chunk_count(docs), parts(docs.sparkSession), min_chars=min_chars, min_docs=min_docs)
+    index = LineIndex(docs.sparkSession, chunk_count(docs, text), parts(docs.sparkSession), min_chars=min_chars, min_docs=min_docs)
     return index.insert(own).apply(own)

@@ -291,7 +291,7 @@ def drop_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    chunks, shards = chunk_count(docs), parts(spark)
+    chunks, shards = chunk_count(docs, text), parts(spark)
     id_type = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), chunk_of(doc_id, text, chunks).alias("chunk"))
     size = {"window": window, "phrase": phrase}
