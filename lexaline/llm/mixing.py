@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import keep
 
-BLOCK, SHARD_DOCS, MAX_SHARDS, MAX_REPEATS, SEED, WEIGHTS = 32, 500, 1 << 14, 3, 17, (5, 2, 1)
+BLOCK, SHARD_DOCS, MAX_SHARDS, MAX_REPEATS, SEED, WEIGHTS = 16, 500, 1 << 14, 3, 17, (5, 2, 1)
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], cap: int = MAX_REPEATS) -> list[float]:
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     with the same doc_id, or none, are each a document; their order in the shard is settled by text.
     An empty table gives no rows.  The same rows give the same result in whatever order they come.  Other
     columns are ignored; with keep_columns the rows of docs come with all their columns, followed by size,
-    source_size, target and taken, and must then have no column of these names.
+    source_size, target and taken, which take the place of columns of these names.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -109,9 +109,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     placed = own.join(F.broadcast(dealt), own["source"].eqNullSafe(dealt["source"])).select("doc_id", own["source"], "size", "draw", "source_size", "target", F.pmod(F.shiftright("draw", 20), "shards").alias("shard"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).toArrow().to_pylist()
     shards.sort(key=lambda r: (_order(r["source"]), r["shard"]))
-    votes = np.array([r["target"] * r["shard_size"] / r["source_size"] if r["source_size"] else 0.0 for r in shards])
     blocks = np.array([-(-r["shard_size"] // block) for r in shards], np.int64)
-    quotas = sainte_lague(votes, round(votes.sum() / block), cap * blocks)
+    votes = np.array([r["target"] / r["source_size"] if r["source_size"] else 0.0 for r in shards]) * blocks
+    quotas = sainte_lague(votes, round(votes.sum()), cap * blocks)
     given = spark.createDataFrame(
         pa.table({"source": pa.array([r["source"] for r in shards], pa.string()), "shard": pa.array([r["shard"] for r in shards], pa.int64()), "blocks": pa.array(blocks, pa.int64()), "quota": pa.array(quotas, pa.int64())}))
     line = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     # each row's share comes back by the numbers that gave it its place, and its count among rows that share them
     marks = ["doc_id", "source", "size", "draw"]
     nth = F.row_number().over(Window.partitionBy(*marks).orderBy(F.lit(1)))
-    drawn = docs.select(F.struct(*docs.columns).alias("row"), *numbers)
+    drawn = docs.select(F.struct(*(c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken"))).alias("row"), *numbers)
     a, b = drawn.withColumn("nth", nth), out.withColumn("nth", nth).withColumnsRenamed({c: f"_{c}" for c in (*marks, "nth")})
     joined = a.join(b, [a[c].eqNullSafe(b[f"_{c}"]) for c in (*marks, "nth")])
     return joined.select("row.*", a["size"], "source_size", "target", "taken")
