@@ -49,4 +49,26 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_context_tree_scores, op2_ngram_ratio_rules, op3_reversible_line_dedup, op4_fourier_quality, op5_deletion_variant_simhash, op6_warc_segments, op7_bm25_leaks, op8_phrase_automata, op9_secret_ownership, op10_sainte_lague_mix)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_reversible_line_dedup": """
+WITH lists AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS n FROM lists),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+held AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+told AS (SELECT doc_id, line, n, last IS NOT NULL AND last <> doc_id AS gone FROM keyed LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id""",
+    "op6_warc_segments": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""",
+    "op8_phrase_automata": """
+WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM lists),
+windows AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS k FROM starts),
+least AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
+hit AS (SELECT doc_id, s FROM windows JOIN least USING (k) WHERE low < doc_id),
+each AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM lists),
+marked AS (SELECT each.*, coalesce(bool_or(hit.s IS NOT NULL) OVER (PARTITION BY each.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM each LEFT JOIN hit ON hit.doc_id = each.doc_id AND hit.s = each.i),
+out AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM lists LEFT JOIN out USING (doc_id)""",
+}
