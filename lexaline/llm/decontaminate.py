@@ -16,6 +16,7 @@ is sent to the tasks; each part is a collection of its own and scans the documen
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 
-BLOCK, PART_ITEMS, THRESHOLD, OVERLAP, WIDTH, LEAST_WORDS = 16, 20_000, 0.6, 0.8, 5, 32
+BLOCK, PART_ITEMS, THRESHOLD, OVERLAP, WIDTH, LEAST_WORDS = 4, 20_000, 0.6, 0.8, 5, 32
 K1, B = 1.2, 0.75
 BATCH_WORDS = 1 << 16
 _from = bytes(c for c in range(128) if not chr(c).isalnum()) + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,47 +87,65 @@ class Index:
         self.block, self.block_max = block[new], np.maximum.reduceat(self.impact, new) if n else np.empty(0)
         self.block_at, self.block_end = new, np.append(new[1:], len(block)) if n else new
         self.block_start = np.concatenate(([0], np.cumsum(np.bincount(term[new], minlength=len(self.terms)))))
+        self.cell = term[new] * self.blocks + self.block
+        self.term_max = np.maximum.reduceat(self.impact, self.start[:-1]) if n else np.empty(0)
         self.passage = max(LEAST_WORDS, 2 * self.longest)
 
     def candidates(self, ids: np.ndarray, passage: np.ndarray, passages: int, threshold: float):
-        """(passage, block, its rows of the block table) where the block's maxima reach the threshold; ids and passage: distinct pairs."""
-        first, n = self.block_start[ids], self.block_start[ids + 1] - self.block_start[ids]
+        """(passage, block, rows of the block table) where the maxima reach the threshold; ids and passage: distinct pairs, by passage.
+
+        The terms of least impact, up to a quarter of the threshold together, can't make a candidate: they
+        count with their largest impact at all, and only blocks of the other terms are looked at.
+        """
+        order = np.lexsort((self.term_max[ids], passage))
+        ids, passage = ids[order], passage[order]
+        most, begin = self.term_max[ids], np.searchsorted(passage, np.arange(passages + 1))
+        total = np.concatenate(([0.0], np.cumsum(most)))
+        lesser = total[1:] - total[begin[passage]] <= threshold / 4
+        base = np.bincount(passage[lesser], most[lesser], passages)
+        own, place = ids[~lesser], passage[~lesser]
+        first, n = self.block_start[own], self.block_start[own + 1] - self.block_start[own]
         at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        cell = np.repeat(passage, n) * self.blocks + self.block[at]
+        cell = np.repeat(place, n) * self.blocks + self.block[at]
         order = np.argsort(cell, kind="stable")
         cell, at = cell[order], at[order]
         new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, np.int64)
-        ends = np.append(new[1:], len(cell))
-        good = np.add.reduceat(self.block_max[at], new) >= threshold - 1e-9 if len(new) else []
-        for a, b in zip(new[good], ends[good], strict=True):
-            yield int(cell[a] // self.blocks), at[a:b]
+        cell = cell[new]
+        bound = np.add.reduceat(self.block_max[at], new) + base[cell // self.blocks] if len(new) else np.empty(0)
+        for c in cell[bound >= threshold - 1e-9].tolist():
+            p, block = divmod(c, self.blocks)
+            want = ids[begin[p] : begin[p + 1]] * self.blocks + block
+            at = np.searchsorted(self.cell, want)
+            yield p, at[self.cell[np.minimum(at, len(self.cell) - 1)] == want]
 
     def wand(self, at: np.ndarray, threshold: float):
         """(item, score) of all items of a block that reach the threshold; at: rows of the block table, a term each."""
-        lists = [[int(self.block_at[i]), int(self.block_end[i]), float(self.block_max[i])] for i in at]
+        lists = []  # of a term's items still ahead, its impacts, its place, its largest impact
+        for a, b, most in zip(self.block_at[at].tolist(), self.block_end[at].tolist(), self.block_max[at].tolist(), strict=True):
+            lists.append([self.item[a:b].tolist(), self.impact[a:b].tolist(), 0, most])
         while lists:
-            lists.sort(key=lambda x: self.item[x[0]])
+            lists.sort(key=lambda x: x[0][x[2]])
             bound = 0.0
             for k, x in enumerate(lists):
-                bound += x[2]
+                bound += x[3]
                 if bound >= threshold - 1e-9:
                     break
             else:
                 return
-            pivot = self.item[lists[k][0]]
-            if self.item[lists[0][0]] == pivot:
+            pivot = lists[k][0][lists[k][2]]
+            if lists[0][0][lists[0][2]] == pivot:
                 score = 0.0
                 for x in lists:
-                    if self.item[x[0]] != pivot:
+                    if x[0][x[2]] != pivot:
                         break
-                    score += float(self.impact[x[0]])
-                    x[0] += 1
+                    score += x[1][x[2]]
+                    x[2] += 1
                 if score >= threshold - 1e-9:
-                    yield int(pivot), score
+                    yield pivot, score
             else:
                 for x in lists[:k]:
-                    x[0] += int(np.searchsorted(self.item[x[0] : x[1]], pivot))
-            lists = [x for x in lists if x[0] < x[1]]
+                    x[2] = bisect_left(x[0], pivot, x[2])
+            lists = [x for x in lists if x[2] < len(x[0])]
 
     def verified(self, item: int, words: list[bytes], overlap: float) -> tuple[float, float] | None:
         """Shares of the question's and the answer's shingles in a passage, if both are enough."""
