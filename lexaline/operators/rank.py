@@ -39,10 +39,15 @@ def top_k(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def top_k_per(rows: DataFrame, by: list[str], k: int | Column, order: list[Column]) -> DataFrame:
-    """The first k rows of each group, with rank."""
-    limit = F.lit(_valid(k)) if isinstance(k, int) else k
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
+def top_k_per(rows: DataFrame, by: list[str], k: int | Column, order: list[Column], most: int | None = None) -> DataFrame:
+    """The first k rows of each group, with rank.
+
+    With k a column, most is a number that no k exceeds: by it each task drops rows before the shuffle.
+    """
+    out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    if isinstance(k, int):
+        return out.where(F.col("rank") <= _valid(k))
+    return (out if most is None else out.where(F.col("rank") <= most)).where(F.col("rank") <= k)
 
 
 class BoundedTop:

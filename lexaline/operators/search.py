@@ -35,6 +35,11 @@ def _hits(rows: DataFrame, match_type: str, edits: Column, *by: str) -> DataFram
     return rows.select(*by, "word", "normalized", "weight", F.lit(match_type).alias("match_type"), edits.cast("int").alias("edit_distance"))
 
 
+def largest(queries: DataFrame) -> int:
+    """The largest limit of a table of queries."""
+    return max(queries.agg(F.max("limit")).first()[0] or 0, 0)
+
+
 # One query: a filter over the corpus and a bounded sort.
 
 
@@ -107,7 +112,7 @@ def fuzzy_pairs(queries: DataFrame, corpus: DataFrame, most: int, indexed: bool)
 
 def prefix_batch(queries: DataFrame, corpus: DataFrame, indexed: bool = True) -> DataFrame:
     hits = scored(prefix_hits(queries, corpus, indexed), corpus)
-    return top_k_per(hits, ["query_id"], F.col("limit"), best_first()).select("query_id", *RESULT)
+    return top_k_per(hits, ["query_id"], F.col("limit"), best_first(), largest(queries)).select("query_id", *RESULT)
 
 
 def prefix_page(queries: DataFrame, topk: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def prefix_page(queries: DataFrame, topk: DataFrame) -> DataFrame:
 def fuzzy_batch(queries: DataFrame, corpus: DataFrame, most: int = MOST, indexed: bool = True) -> DataFrame:
     pairs = fuzzy_pairs(queries, corpus, most, indexed)
     hits = scored(_hits(pairs, FUZZY, F.col("d"), "query_id", "limit"), corpus)
-    return top_k_per(hits, ["query_id"], F.col("limit"), best_first()).select("query_id", *RESULT)
+    return top_k_per(hits, ["query_id"], F.col("limit"), best_first(), largest(queries)).select("query_id", *RESULT)
 
 
 def merge(prefix: DataFrame, fuzzy: DataFrame, by: list[str]) -> DataFrame:
@@ -146,7 +151,7 @@ def search_batch(queries: DataFrame, corpus: DataFrame, indexed: bool = True, mo
     each = Window.partitionBy("query_id")
     enough = [F.when(F.count_if(F.col("edit_distance") <= d).over(each) >= F.col("limit"), d) for d in range(most)]
     allowed = hits.withColumn("allowed", F.coalesce(*enough, F.lit(most))).where(F.col("edit_distance") <= F.col("allowed")).drop("allowed")
-    return top_k_per(scored(allowed, corpus), ["query_id"], F.col("limit"), best_first()).select("query_id", *RESULT)
+    return top_k_per(scored(allowed, corpus), ["query_id"], F.col("limit"), best_first(), largest(queries)).select("query_id", *RESULT)
 
 
 def within(pairs: DataFrame, most: int) -> DataFrame:
