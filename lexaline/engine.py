@@ -58,6 +58,11 @@ class Engine:
         """Words by what is left when a character is deleted."""
         return self._built("deletion_index", index.deletion_index(self.corpus, routing.INDEXED_BUDGET))
 
+    @cached_property
+    def variants_of_all(self) -> DataFrame:
+        """Words by what is left when up to two characters are deleted, for tables of queries."""
+        return self._built("deletion_index_2", index.deletion_index(self.corpus, search.MOST))
+
     def _units(self, q: str) -> bool:
         return self.has_astral or any(ord(c) > 0xFFFF for c in q)
 
@@ -92,12 +97,15 @@ class Engine:
         return routing.search(self.corpus, q, limit, find)
 
     def search_batch(self, queries: DataFrame, engine: str = "optimized") -> DataFrame:
-        return search.search_batch(queries, self.corpus, engine == "optimized")
+        if engine != "optimized":
+            return search.search_batch(queries, self.corpus, False)
+        return search.search_batch(queries, self.corpus, True, pages=self.pages, variants=self.variants_of_all)
 
     def warm_up(self) -> None:
         """Build what queries read."""
         self.pages.count()
         self.variants.count()
+        self.variants_of_all.count()
 
     def stats(self) -> dict:
         return {"size": self.size, "build_millis": dict(self.build_millis), "prefixes": self.prefixes.count()}

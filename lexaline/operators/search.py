@@ -15,7 +15,7 @@ from ..functions.distance import Metric, is_within
 from ..functions.distance import distance as levenshtein
 from ..functions.score import FUZZY, PREFIX, budget, score
 from ..functions.text import normalize
-from .index import deletions, exploded_prefixes, max_weight
+from .index import PAGE, deletions, exploded_prefixes, max_weight
 from .rank import best_first, top_k, top_k_per
 
 RESULT = ["rank", "word", "score", "match_type", "edit_distance", "weight"]
@@ -83,9 +83,11 @@ def _key(corpus: DataFrame, q: str) -> str:
 # A table of queries.
 
 
-def prefix_hits(queries: DataFrame, corpus: DataFrame, indexed: bool) -> DataFrame:
-    """query_id, limit, key and the words that start with the key."""
-    if indexed:
+def prefix_hits(queries: DataFrame, corpus: DataFrame, indexed: bool, pages: DataFrame | None = None) -> DataFrame:
+    """query_id, limit, key and the words that start with the key; from pages only the best PAGE of them."""
+    if pages is not None:
+        found = pages.drop("rank", "score").join(keyed(queries), F.col("prefix") == F.col("key"))
+    elif indexed:
         own = keyed(queries)
         longest = own.agg(F.coalesce(F.max(F.length("key")), F.lit(0))).first()[0]
         prefixes = exploded_prefixes(corpus).where(F.length("prefix") <= longest)
@@ -95,15 +97,17 @@ def prefix_hits(queries: DataFrame, corpus: DataFrame, indexed: bool) -> DataFra
     return _hits(found, PREFIX, F.lit(0), "query_id", "limit")
 
 
-def fuzzy_pairs(queries: DataFrame, corpus: DataFrame, most: int, indexed: bool) -> DataFrame:
+def fuzzy_pairs(queries: DataFrame, corpus: DataFrame, most: int, indexed: bool, variants: DataFrame | None = None) -> DataFrame:
     """query_id, limit, key, max_distance and the words within max_distance (at most `most`) of the key.
 
-    Indexed: both sides by their deletion variants, each meeting pair verified once.  Scan: by word length.
+    Indexed: both sides by their deletion variants (those of the words may be given), each meeting pair
+    verified once.  Scan: by word length.
     """
     own = keyed(queries)
     words = corpus.select("word", "normalized", "weight")
     if indexed:
-        pairs = deletions(words, "normalized", most).join(deletions(own, "key", most), "variant").drop("variant").dropDuplicates(["query_id", "normalized"])
+        have = deletions(words, "normalized", most) if variants is None else variants
+        pairs = have.join(deletions(own, "key", most), "variant").drop("variant").dropDuplicates(["query_id", "normalized"])
     else:
         sized = own.withColumn("size", F.explode(F.sequence(F.length("key") - most, F.length("key") + most)))
         pairs = words.join(F.broadcast(sized), F.length("normalized") == F.col("size")).drop("size")
@@ -134,24 +138,27 @@ def merge(prefix: DataFrame, fuzzy: DataFrame, by: list[str]) -> DataFrame:
     return both.withColumn("first", first).where("first = 1").drop("first")
 
 
-def search_batch(queries: DataFrame, corpus: DataFrame, indexed: bool = True, most: int = MOST) -> DataFrame:
+def search_batch(queries: DataFrame, corpus: DataFrame, indexed: bool = True, most: int = MOST, pages: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
     """Combined search: prefix hits, and while the page is short words within 1 edit, then 2, as the budget allows.
 
     One pass: with P prefix hits and N(d) other words within d edits, the edits allowed are 0 if P fills the
-    page, else the least d within the budget with P + N(d) >= limit, or else the whole budget.
+    page, else the least d within the budget with P + N(d) >= limit, or else the whole budget.  Prefix hits that
+    don't fit the page are never seen, so tables of the best words will do while no limit exceeds theirs.
     """
+    top = largest(queries)
+    pages = pages if top <= PAGE else None
     own = keyed(queries).withColumn("budget", budget(F.col("q")))
-    prefix = prefix_hits(own.select("query_id", "q", "limit"), corpus, indexed)
+    prefix = prefix_hits(own.select("query_id", "q", "limit"), corpus, indexed, pages)
     full = prefix.groupBy("query_id").agg(F.count("*").alias("n"))
     # queries whose page is full need no fuzzy candidates at all
     short = own.join(full, "query_id", "left").where((F.coalesce("n", F.lit(0)) < F.col("limit")) & (F.col("budget") > 0))
-    pairs = fuzzy_pairs(short.select("query_id", "q", "limit", F.col("budget").alias("max_distance")), corpus, most, indexed)
+    pairs = fuzzy_pairs(short.select("query_id", "q", "limit", F.col("budget").alias("max_distance")), corpus, most, indexed, variants)
     fuzzy = _hits(pairs.where(~F.col("normalized").startswith(F.col("key"))), FUZZY, F.col("d"), "query_id", "limit")
     hits = prefix.unionByName(fuzzy)
     each = Window.partitionBy("query_id")
     enough = [F.when(F.count_if(F.col("edit_distance") <= d).over(each) >= F.col("limit"), d) for d in range(most)]
     allowed = hits.withColumn("allowed", F.coalesce(*enough, F.lit(most))).where(F.col("edit_distance") <= F.col("allowed")).drop("allowed")
-    return top_k_per(scored(allowed, corpus), ["query_id"], F.col("limit"), best_first(), largest(queries)).select("query_id", *RESULT)
+    return top_k_per(scored(allowed, corpus), ["query_id"], F.col("limit"), best_first(), top).select("query_id", *RESULT)
 
 
 def within(pairs: DataFrame, most: int) -> DataFrame:
