@@ -26,7 +26,7 @@ from .common import texts_of
 
 BUCKETS, SMOOTHING, THRESHOLD, MIN_WORDS, MAX_REPEATED = 1 << 16, 5.0, -0.13, 50, 50
 #: Hashes of words that a task remembers before it starts anew.
-MEMORY = 1 << 20
+MEMORY = 1 << 18
 SYMBOLS = re.compile(rb"[#*$%&|<>]+")
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
