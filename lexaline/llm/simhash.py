@@ -268,6 +268,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     members = others.unionByName(others.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(members, "doc_id").select("doc_id", "component_id", "text")
     drawn = keep(own.mapInArrow(sketches(width, size), f"doc_id {id_type}, component_id {id_type}, sketch binary"))
-    stays = drawn.where("doc_id = component_id").dropDuplicates(["component_id"]).select("component_id", F.col("sketch").alias("first"))
+    # written, so that the join below reads both sides plainly and adaptive execution can split a large group
+    stays = keep(drawn.where("doc_id = component_id").dropDuplicates(["component_id"]).select("component_id", F.col("sketch").alias("first")))
     gone = drawn.where("doc_id <> component_id").join(stays, "component_id").select("doc_id", "sketch", "first").mapInArrow(too_alike(similarity, size), f"doc_id {id_type}")
     return docs.join(keep(gone.distinct()).withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")
