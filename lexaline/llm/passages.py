@@ -6,10 +6,10 @@ starts in a document with a smaller doc_id goes.
 1. Anchors.  Among the PHRASE-word phrases that start in each stretch of WINDOW - PHRASE + 1 words, the one
    with the least hash is an anchor (winnowing), so every window holds one and equal windows hold the same.
    Chunks of documents send their distinct anchors to shards, and get back those of two or more documents.
-2. Automata.  Each chunk compiles its recurring phrases into Aho-Corasick automata, PATTERNS to each, over
-   words as symbols, and streams all of its documents through them.  Only windows around an occurrence
+2. Automata.  Each chunk compiles its recurring phrases into Aho-Corasick automata, PATTERNS to each, a word
+   being three symbols, and streams all of its documents through them.  Only windows around an occurrence
    can recur.
-3. Confirmation.  Those windows' 128-bit hashes go, once per chunk, to shards, which answer with the
+3. Confirmation.  Those windows' 96-bit hashes go, once per chunk, to shards, which answer with the
    smallest doc_id of each that two or more documents hold.  A chunk drops the words of windows whose
    smallest doc_id is smaller than their own document's.
 
@@ -33,16 +33,25 @@ from .common import chunk_count, chunk_of, keep, pack, parts, texts_of, unpack
 
 WINDOW, PHRASE, PATTERNS = 50, 20, 20_000
 NONE = np.iinfo(np.int64).max
-#: Symbols of words in an automaton: code points from here on, short of the surrogates and after them.
-FIRST, LOW, HIGH = 1, 0xD800, 0xE000
+#: A word is DIGITS symbols of BASE in an automaton, whose nodes then have few children; OTHER stands in words of no phrase.
+BASE, DIGITS, OTHER = 128, 3, 1000
 
 
-class Words(dict):
-    """Word to 64-bit hash, each computed once."""
+class Vocabulary(dict):
+    """Word to its number, in order of first sight."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self[word] = n = len(self)
+        return n
+
+
+def numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's words as numbers, and the 64-bit hash of each number's word."""
+    words, out = Vocabulary(), []
+    for text in texts:
+        own = text.split()
+        out.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
+    return out, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def rolled(h: np.ndarray, width: int, factor: int) -> np.ndarray:
@@ -68,8 +77,8 @@ def phrases(h: np.ndarray, width: int = PHRASE) -> np.ndarray:
 
 
 def windows(h: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """(windows, 2) hashes, two of 64 bits for each window."""
-    return np.stack((mixed(rolled(h, width, 0xC2B2AE3D27D4EB4F)), mixed(rolled(h, width, 0xFF51AFD7ED558CCD))), 1)
+    """(windows, 2) hashes, of 64 and of 32 bits for each window."""
+    return np.stack((mixed(rolled(h, width, 0xC2B2AE3D27D4EB4F)), mixed(rolled(h, width, 0xFF51AFD7ED558CCD)) >> np.uint64(32)), 1)
 
 
 def anchors(p: np.ndarray, stretch: int) -> np.ndarray:
@@ -89,11 +98,6 @@ def anchors(p: np.ndarray, stretch: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def hashed(text: bytes, words: Words) -> np.ndarray:
-    own = text.split()
-    return np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
-
-
 def least(keys: np.ndarray, docs: np.ndarray, last: np.ndarray | None = None):
     """Distinct rows of keys, with the least and largest doc of each."""
     if not len(keys):
@@ -105,8 +109,8 @@ def least(keys: np.ndarray, docs: np.ndarray, last: np.ndarray | None = None):
     return keys[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(last, first)
 
 
-SENT = pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
-SENT_ROW = "chunk int, shard long, keys binary, low binary, high binary"
+SENT = pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("low", pa.binary()), ("more", pa.binary())])
+SENT_ROW = "chunk int, shard long, keys binary, low binary, more binary"
 REPLY = "chunk int, keys binary, low binary"
 
 
@@ -115,7 +119,7 @@ def by_shard(chunk: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, sh
     at = ((lead >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0))) if len(at) else []
-    rows = [{"chunk": chunk, "shard": int(at[i[0]]), "keys": packed(keys[i]), "low": pack(low[i]), "high": pack(high[i])} for i in (np.split(order, first[1:]) if len(at) else [])]
+    rows = [{"chunk": chunk, "shard": int(at[i[0]]), "keys": packed(keys[i]), "low": pack(low[i]), "more": pack(high[i] - low[i])} for i in (np.split(order, first[1:]) if len(at) else [])]
     return pa.Table.from_pylist(rows, schema=SENT)
 
 
@@ -137,10 +141,11 @@ def ids_of(docs: pa.Table) -> list[int | None]:
 
 def send_anchors(docs: pa.Table, shards: int, window: int, phrase: int) -> pa.Table:
     """A chunk's distinct anchors with the least and largest doc_id that holds them."""
-    words, keys, of = Words(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for i, text in zip(ids_of(docs), texts_of(docs["text"]), strict=True):
+    keys, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    numbers, hashes = numbered(texts_of(docs["text"]))
+    for i, own in zip(ids_of(docs), numbers, strict=True):
         if i is not None:
-            p = phrases(hashed(text, words), phrase)
+            p = phrases(hashes[own], phrase)
             own = np.unique(p[anchors(p, window - phrase + 1)])
             keys.append(own)
             of.append(np.full(len(own), i, np.int64))
@@ -151,13 +156,13 @@ def recurring(table: pa.Table, pairs: bool) -> pa.Table:
     """For each chunk its keys that two or more documents hold, with the least doc_id of each."""
     blobs = table["keys"].to_pylist()
     own = [keys_of(b, pairs) for b in blobs]
-    low, high = ([unpack(b, np.int64) for b in table[c].to_pylist()] for c in ("low", "high"))
-    keys, least_of, last = least(np.concatenate(own), np.concatenate(low), np.concatenate(high))
+    low, more = (np.concatenate([unpack(b, np.int64) for b in table[c].to_pylist()]) for c in ("low", "more"))
+    keys, least_of, last = least(np.concatenate(own), low, low + more)
     many = least_of != last
     keys, least_of = keys[many], least_of[many]
     rows = []
     for chunk, k in zip(table["chunk"].to_pylist(), own, strict=True):
-        if pairs:  # 128 bits as raw bytes, in numerical order
+        if pairs:  # both parts of a hash as one value
             big = np.dtype([("a", "<u8"), ("b", "<u8")])
             all_, mine = (np.ascontiguousarray(x).view(big).ravel() for x in (keys, k))
             at = np.searchsorted(keys[:, 0], k[:, 0])
@@ -180,31 +185,35 @@ def recurring(table: pa.Table, pairs: bool) -> pa.Table:
 
 
 class Automata:
-    """Aho-Corasick automata of a chunk's recurring phrases, PATTERNS of them in each, with words as symbols."""
+    """Aho-Corasick automata of a chunk's recurring phrases, PATTERNS of them in each."""
 
-    def __init__(self, patterns: list[tuple[bytes, ...]]):
+    def __init__(self, patterns: list[np.ndarray], words: int):
+        """patterns: phrases as numbers below `words`."""
         self.parts = []
         for i in range(0, len(patterns), PATTERNS):
-            symbol: dict[bytes, str] = {}
+            some = np.stack(patterns[i : i + PATTERNS])
+            used = np.unique(some)
+            code = np.full((words, DIGITS), OTHER, "<u4")
+            code[used] = np.arange(len(used))[:, None] // BASE ** np.arange(DIGITS - 1, -1, -1) % BASE
             machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in patterns[i : i + PATTERNS]:
-                for w in p:
-                    if w not in symbol:
-                        n = FIRST + len(symbol)
-                        symbol[w] = chr(n if n < LOW else n + HIGH - LOW)
-                machine.add_word("".join(symbol[w] for w in p))
+            for p in code[some]:
+                machine.add_word(symbols(p))
             machine.make_automaton()
-            self.parts.append((symbol, machine))
+            self.parts.append((code, machine))
 
-    def starts(self, words: list[bytes], width: int) -> np.ndarray:
-        """Where the phrases stand in a document, in words."""
+    def starts(self, words: np.ndarray, width: int) -> np.ndarray:
+        """Where the phrases stand in a document, in words; matches that begin within a word are none."""
         found: set[int] = set()
-        for symbol, machine in self.parts:
-            get = symbol.get
-            found.update(end - width + 1 for end, _ in machine.iter("".join([get(w, "\0") for w in words])))
+        for code, machine in self.parts:
+            ends = [end + 1 for end, _ in machine.iter(symbols(code[words]))]
+            found.update(end // DIGITS - width for end in ends if end % DIGITS == 0)
         return np.array(sorted(found), np.int64)
 
 
+def symbols(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le")
+
+
 def covered(starts: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
     """Which of n places lie within [start - before, start + after] of some start."""
     edge = np.zeros(n + 1, np.int64)
@@ -218,23 +227,21 @@ def candidates(docs: pa.Table, found: pa.Table, window: int, phrase: int):
     if not found.num_rows:
         return
     known = np.sort(np.concatenate([keys_of(b, False) for b in found["keys"].to_pylist()]))
-    texts, words = texts_of(docs["text"]), Words()
-    patterns: dict[int, tuple[bytes, ...]] = {}
-    for text in texts:  # the phrases' words, from a place where each stands in this chunk
-        own = text.split()
-        p = phrases(np.fromiter(map(words.__getitem__, own), np.uint64, len(own)), phrase)
+    numbers, hashes = numbered(texts_of(docs["text"]))
+    patterns: dict[int, np.ndarray] = {}
+    for own in numbers:  # the phrases' words, from a place where each stands in this chunk
+        p = phrases(hashes[own], phrase)
         spots = anchors(p, window - phrase + 1)
         at = np.minimum(np.searchsorted(known, p[spots]), len(known) - 1)
         for s in spots[known[at] == p[spots]].tolist():
-            patterns.setdefault(int(p[s]), tuple(own[s : s + phrase]))
-    automata = Automata(list(patterns.values()))
-    for row, text in enumerate(texts):
-        own = text.split()
+            patterns.setdefault(int(p[s]), own[s : s + phrase])
+    automata = Automata(list(patterns.values()), len(hashes))
+    for row, own in enumerate(numbers):
         n = len(own) - window + 1
         if n > 0 and len(starts := automata.starts(own, phrase)):
             near = np.flatnonzero(covered(starts, len(own), window - phrase, 0)[:n])
             if len(near):
-                yield row, np.fromiter(map(words.__getitem__, own), np.uint64, len(own)), near
+                yield row, hashes[own], near
 
 
 def send_windows(docs: pa.Table, found: pa.Table, shards: int, window: int, phrase: int) -> pa.Table:
@@ -259,11 +266,11 @@ def drop(docs: pa.Table, found: pa.Table, window: int, phrase: int) -> pa.Table:
         low = np.concatenate([unpack(b, np.int64) for b in found["low"].to_pylist()])
         smallest = dict(zip(map(bytes, np.ascontiguousarray(keys).view("V16").ravel()), low.tolist(), strict=True))
         first = np.sort(keys[:, 0])
-        words = Words()
-        for row, text in enumerate(texts):
-            h = hashed(text, words)
-            if len(h) < window or ids[row] is None:
+        numbers, hashes = numbered(texts)
+        for row, own in enumerate(numbers):
+            if len(own) < window or ids[row] is None:
                 continue
+            h = hashes[own]
             w = windows(h, window)
             at = np.minimum(np.searchsorted(first, w[:, 0]), len(first) - 1)
             hit = np.flatnonzero(first[at] == w[:, 0])
