@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import components, forest, keep, parts, texts_of
 
 SHINGLE, BITS, SEED, FEW, HOT = 3, 2, 42, 256, 1 << 14
+LEADS = 4
 FLUSH = 1 << 21
 
 
@@ -232,8 +233,8 @@ def sketch(hashes: list[int], size: int) -> np.ndarray:
 def sketches(width: int, size: int):
     def run(batches):
         for x in batches:
-            own = [sketch(text_hashes(t, width), size).tobytes() for t in texts_of(x.column(2))]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(own, pa.binary())], ["doc_id", "component_id", "sketch"])
+            own = [sketch(text_hashes(t, width), size).tobytes() for t in texts_of(x.column(1))]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(own, pa.binary())], ["doc_id", "sketch"])
 
     return run
 
@@ -248,27 +249,88 @@ def alike(a: bytes, b: bytes, size: int) -> float:
 def too_alike(similarity: float, size: int):
     def run(batches):
         for x in batches:
-            keep_ = [alike(a, b, size) >= similarity for a, b in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep_, pa.bool_()))], ["doc_id"])
+            hit = pa.array([alike(a, b, size) >= similarity for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(hit), x.column(1).filter(hit)], ["a", "b"])
 
     return run
 
 
+def met(leads: int):
+    """Over rows (key, doc_id) in that order: (a, b) for each row b and each a of the first `leads` of its key that come
+    before it; b with a null if it is itself none of those first ones."""
+
+    def run(batches):
+        key, ids, done = np.empty(0, np.int64), None, 0  # the first rows of the key that may go on, and how many
+        for x in batches:
+            if not x.num_rows:
+                continue
+            key = np.concatenate((key, x.column(0).to_numpy(zero_copy_only=False)))
+            ids = x.column(1) if ids is None else pa.concat_arrays([ids, x.column(1)])
+            at = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
+            at, first = at[done:], start[done:]
+            for j in range(leads):
+                more = at - first > j
+                at, first = at[more], first[more]
+                if not len(at):
+                    break
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + j)), ids.take(pa.array(at))], ["a", "b"])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), ids.type), ids.take(pa.array(at))], ["a", "b"])
+            done = min(leads, len(key) - int(start[-1]))
+            key, ids = key[start[-1] : start[-1] + done], ids.slice(int(start[-1]), done)
+
+    return run
+
+
+def settle(edges: DataFrame, unmet: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gone, undecided) among documents, given the pairs a < b that are alike and those that others may not have met.
+
+    A document that has met all others stays if no lesser one that is alike to it is left; what is alike to one
+    that stays is gone.
+    """
+    gone = edges.select(F.col("b").alias("doc_id")).limit(0)
+    while True:
+        tops = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti").join(unmet.withColumnRenamed("doc_id", "a"), "a", "left_anti")
+        new = keep(edges.join(tops, "a", "left_semi").select(F.col("b").alias("doc_id")).distinct())
+        if new.isEmpty():
+            break
+        gone = gone.unionByName(new)
+        edges = keep(edges.join(new.withColumnRenamed("doc_id", "a"), "a", "left_anti").join(new.withColumnRenamed("doc_id", "b"), "b", "left_anti").select("a", "b"))
+    gone = keep(gone)
+    return gone, keep(unmet.unionByName(edges.select(F.col("b").alias("doc_id"))).distinct().join(gone, "doc_id", "left_anti"))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 7, width: int = 5, similarity: float = 0.8, size: int = 512) -> DataFrame:
     """Documents, with all their columns, without those that are near copies of one that stays.
 
-    Groups are near_duplicates() over shingles of `width` words; the least doc_id of a group stays, and of
-    the others those go whose similarity to it is `similarity` or more.  A document without an id stays.
+    Those that share a group of near_duplicates() over shingles of `width` words are compared.  In order of doc_id, a
+    document goes if its similarity to a lesser one that stays is `similarity` or more: no two that stay are alike
+    within a group, and each that goes is alike to one that stays.  A document without an id stays.
     Rows that share a doc_id are one document and stay or go together.
+
+    Each round compares all members of a group with its first LEADS, not all with all; those first ones are
+    decided, and the others go on among themselves with LEADS times as many.
     """
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    marks = near_duplicates(docs, doc_id, text, bits, width).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    marks = keep(marks)
-    others = marks.where("doc_id <> component_id")
-    members = others.unionByName(others.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(members, "doc_id").select("doc_id", "component_id", "text")
-    drawn = keep(own.mapInArrow(sketches(width, size), f"doc_id {id_type}, component_id {id_type}, sketch binary"))
-    # written, so that the join below reads both sides plainly and adaptive execution can split a large group
-    stays = keep(drawn.where("doc_id = component_id").dropDuplicates(["component_id"]).select("component_id", F.col("sketch").alias("first")))
-    gone = drawn.where("doc_id <> component_id").join(stays, "component_id").select("doc_id", "sketch", "first").mapInArrow(too_alike(similarity, size), f"doc_id {id_type}")
-    return docs.join(keep(gone.distinct()).withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")
+    id_type, n = docs.schema[doc_id].dataType.simpleString(), parts(docs.sparkSession)
+    marks = near_duplicates(docs, doc_id, text, bits, width).where("doc_id is not null")
+    live = keep(marks.select(F.xxhash64("component_id").alias("key"), "doc_id").distinct())
+    drawn, lost, leads = None, None, LEADS
+    while True:
+        pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads), f"a {id_type}, b {id_type}")
+        pairs = keep(pairs.distinct())
+        unmet, pairs = pairs.where("a is null").select(F.col("b").alias("doc_id")), pairs.where("a < b")
+        if drawn is None:
+            members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(members, "doc_id")
+            drawn = keep(own.mapInArrow(sketches(width, size), f"doc_id {id_type}, sketch binary"))
+        # written, so that the join on a reads both sides plainly and adaptive execution can split a large group
+        half = keep(pairs.join(drawn.select(F.col("doc_id").alias("b"), F.col("sketch").alias("other")), "b").select("a", "b", "other"))
+        whole = half.join(drawn.select(F.col("doc_id").alias("a"), F.col("sketch").alias("first")), "a").select("a", "b", "first", "other")
+        edges = keep(keep(whole.mapInArrow(too_alike(similarity, size), f"a {id_type}, b {id_type}")).distinct())
+        gone, undecided = settle(edges, unmet)
+        lost = gone if lost is None else lost.unionByName(gone)
+        if undecided.isEmpty():
+            break
+        live, leads = keep(live.join(undecided, "doc_id", "left_semi").select("key", "doc_id")), leads * LEADS
+    return docs.join(lost.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")

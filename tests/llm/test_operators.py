@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -321,6 +322,44 @@ def test_one_of_each(spark, odd):
     assert out.columns == odd.columns and out.where("doc_id is null").count() == 1
 
 
+def alike_brute(texts, similarity=0.8):
+    """What stays if, in order of id, a text goes that is alike to one that stays."""
+    sets, stay = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})(t.split()) for i, t in texts.items()}, []
+    for i in sorted(texts):
+        if all(len(sets[i] & sets[j]) < similarity * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    return stay
+
+
+def stays(spark, texts):
+    rows = list(texts.items())
+    random.Random(4).shuffle(rows)
+    return sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+
+
+def test_one_of_each_in_chains(spark):
+    words, texts = [f"w{i}" for i in range(400)], {}
+    for i in range(14):  # each has three words more changed than the one before it, so that the ends are unlike; and a copy
+        texts[i] = texts[40 + i] = " ".join(words)
+        for k in range(3):
+            words[(i * 3 + k) * 9] = f"x{i}-{k}"
+    want = alike_brute(texts)
+    assert 1 < len(want) < 14 and stays(spark, texts) == want
+
+
+def test_met_rows_go_on_over_batches():
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(9), i) for i in range(120))
+    for leads, step in ((2, 7), (4, 1), (4, 120)):
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + step]], "doc_id": [d for _, d in rows[i : i + step]]}) for i in range(0, 120, step)]
+        got = sorted(((a, b) for x in simhash.met(leads)(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)), key=str)
+        groups = defaultdict(list)
+        for k, d in rows:
+            groups[k].append(d)
+        want = [(a, b) for g in groups.values() for n, b in enumerate(g) for a in g[: min(n, leads)]] + [(None, b) for g in groups.values() for b in g[leads:]]
+        assert got == sorted(want, key=str)
+
+
 def test_similarity_from_sketches():
     a, b = set(range(100)), set(range(50, 150))
     x, y = (simhash.sketch([xxhash.xxh64_intdigest(str(v)) for v in s], 512).tobytes() for s in (a, b))
