@@ -12,6 +12,10 @@ A key's fingerprints are linked by a spanning forest and never by all pairs: few
 many by looking up the neighbours of each one within the key.  A key with more than `hot` of them is
 indexed once more, by the bits outside its segment cut in the same way; with two segments of 32 bits
 what meets then agrees on all but 18 bits, so no group exceeds 2**18, whatever the corpus.
+
+one_of_each() goes by the similarity of the shingle sets, for which one fingerprint is too coarse: at 0.8 two of them
+differ in about 10 bits.  Its candidates share one of BANDS keys, each made of ROWS least hashes of the set under
+different turns.  Two sets of similarity s share one but for a chance of (1 - s**ROWS)**BANDS, at 0.8 7e-10.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, forest, keep, parts, texts_of
 
 SHINGLE, BITS, SEED, FEW, HOT = 3, 2, 42, 256, 1 << 14
-LEADS = 4
+LEADS, ROWS, BANDS = 4, 4, 40
 FLUSH = 1 << 21
 
 
@@ -246,6 +250,41 @@ def alike(a: bytes, b: bytes, size: int) -> float:
     return len(np.intersect1d(np.intersect1d(x, both), y)) / len(both) if len(both) else 1.0
 
 
+def number(*at: int) -> int:
+    return xxhash.xxh64_intdigest(repr(at), SEED)
+
+
+TURNS = np.array([number(i) | 1 for i in range(BANDS * ROWS)], np.uint64).astype(np.uint32)
+MIX = np.array([[number(i, j) | 1 for j in range(ROWS)] for i in range(BANDS)], np.uint64)
+PLACE = np.array([number(i, i, i) for i in range(BANDS)], np.uint64)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set of hashes, one for each band."""
+    h, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(TURNS), (1 << 32) - 1, np.uint32)
+    for i in range(0, len(h), 2048):
+        np.minimum(least, (TURNS[:, None] * h[i : i + 2048]).min(1), out=least)
+    return (least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) + PLACE
+
+
+def signatures(width: int):
+    """Of each text the hash of its shingle set, in two halves, and its band keys."""
+
+    def run(batches):
+        for x in batches:
+            halves, keys = [], []
+            for t in texts_of(x.column(1)):
+                own = np.unique(np.array(text_hashes(t, width), np.uint64))
+                halves.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes(), SEED), np.int64))
+                keys.append(bands(own).view(np.int64))
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            a, b = (pa.array(np.array([h[i] for h in halves], np.int64)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([x.column(0), a, b, flat], ["doc_id", "half", "other", "keys"])
+
+    return run
+
+
 def too_alike(similarity: float, size: int):
     def run(batches):
         for x in batches:
@@ -301,36 +340,39 @@ def settle(edges: DataFrame, unmet: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone, keep(unmet.unionByName(edges.select(F.col("b").alias("doc_id"))).distinct().join(gone, "doc_id", "left_anti"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 7, width: int = 5, similarity: float = 0.8, size: int = 512) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, size: int = 512) -> DataFrame:
     """Documents, with all their columns, without those that are near copies of one that stays.
 
-    Those that share a group of near_duplicates() over shingles of `width` words are compared.  In order of doc_id, a
-    document goes if its similarity to a lesser one that stays is `similarity` or more: no two that stay are alike
-    within a group, and each that goes is alike to one that stays.  A document without an id stays.
-    Rows that share a doc_id are one document and stay or go together.
+    In order of doc_id, a document goes if the similarity of its shingles of `width` words to those of a lesser one that
+    stays is `similarity` or more: no two that stay are alike, and each that goes is alike to one that stays.
+    Texts without words are alike.  A document without an id stays.  Rows that share a doc_id are one document and
+    stay or go together.
 
-    Each round compares all members of a group with its first LEADS, not all with all; those first ones are
+    Of equal shingle sets only the least doc_id is looked at.  The others are compared where they share a band key (see
+    above).  Each round compares all members of a key with its first LEADS, not all with all; those first ones are
     decided, and the others go on among themselves with LEADS times as many.
     """
     id_type, n = docs.schema[doc_id].dataType.simpleString(), parts(docs.sparkSession)
-    marks = near_duplicates(docs, doc_id, text, bits, width).where("doc_id is not null")
-    live = keep(marks.select(F.xxhash64("component_id").alias("key"), "doc_id").distinct())
-    drawn, lost, leads = None, None, LEADS
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    own = keep(texts.mapInArrow(signatures(width), f"doc_id {id_type}, half long, other long, keys array<long>"))
+    firsts = keep(own.groupBy("half", "other").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    lost = own.select("doc_id").join(firsts, "doc_id", "left_anti").distinct()
+    of = lambda ids: own.join(ids, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
+    live, drawn, leads = of(firsts), None, LEADS
     while True:
         pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads), f"a {id_type}, b {id_type}")
         pairs = keep(pairs.distinct())
         unmet, pairs = pairs.where("a is null").select(F.col("b").alias("doc_id")), pairs.where("a < b")
         if drawn is None:
             members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(members, "doc_id")
-            drawn = keep(own.mapInArrow(sketches(width, size), f"doc_id {id_type}, sketch binary"))
+            drawn = keep(texts.join(members, "doc_id").mapInArrow(sketches(width, size), f"doc_id {id_type}, sketch binary"))
         # written, so that the join on a reads both sides plainly and adaptive execution can split a large group
         half = keep(pairs.join(drawn.select(F.col("doc_id").alias("b"), F.col("sketch").alias("other")), "b").select("a", "b", "other"))
         whole = half.join(drawn.select(F.col("doc_id").alias("a"), F.col("sketch").alias("first")), "a").select("a", "b", "first", "other")
         edges = keep(keep(whole.mapInArrow(too_alike(similarity, size), f"a {id_type}, b {id_type}")).distinct())
         gone, undecided = settle(edges, unmet)
-        lost = gone if lost is None else lost.unionByName(gone)
+        lost = lost.unionByName(gone)
         if undecided.isEmpty():
             break
-        live, leads = keep(live.join(undecided, "doc_id", "left_semi").select("key", "doc_id")), leads * LEADS
-    return docs.join(lost.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")
+        live, leads = of(undecided), leads * LEADS
+    return docs.join(keep(lost).withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")

@@ -347,6 +347,18 @@ def test_one_of_each_in_chains(spark):
     assert 1 < len(want) < 14 and stays(spark, texts) == want
 
 
+def test_one_of_each_finds_all_pairs(spark):
+    rng, texts = random.Random(9), {}
+    for i in range(80):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts[i] = " ".join(words)
+        for k in range(i % 20):
+            words[7 + 13 * k] = "other"
+        texts[100 + i] = " ".join(words)
+    want = alike_brute(texts)
+    assert 100 < len(want) < 140 and stays(spark, texts) == want
+
+
 def test_met_rows_go_on_over_batches():
     rng = random.Random(2)
     rows = sorted((rng.randrange(9), i) for i in range(120))
