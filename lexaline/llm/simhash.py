@@ -229,21 +229,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return own.join(answer, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def sketch(hashes: list[int], size: int) -> np.ndarray:
-    """The least `size` distinct hashes; all of them if there are fewer."""
+def sketch(hashes: list[int], size: int | None = None) -> np.ndarray:
+    """The least `size` distinct hashes; all of them if there are fewer or no size is given."""
     return np.unique(np.array(hashes, np.uint64))[:size]
 
 
-def sketches(width: int, size: int):
+def whole_sets(width: int):
     def run(batches):
         for x in batches:
-            own = [sketch(text_hashes(t, width), size).tobytes() for t in texts_of(x.column(1))]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(own, pa.binary())], ["doc_id", "sketch"])
+            own = [sketch(text_hashes(t, width)).tobytes() for t in texts_of(x.column(1))]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(own, pa.binary())], ["doc_id", "hashes"])
 
     return run
 
 
-def alike(a: bytes, b: bytes, size: int) -> float:
+def alike(a: bytes, b: bytes, size: int | None = None) -> float:
     """Jaccard similarity of two shingle sets from their least hashes; exact for sets that a sketch holds whole."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = np.union1d(x, y)[:size]
@@ -285,10 +285,10 @@ def signatures(width: int):
     return run
 
 
-def too_alike(similarity: float, size: int):
+def too_alike(similarity: float):
     def run(batches):
         for x in batches:
-            hit = pa.array([alike(a, b, size) >= similarity for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)], pa.bool_())
+            hit = pa.array([min(len(a), len(b)) >= similarity * max(len(a), len(b)) and alike(a, b) >= similarity for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column(0).filter(hit), x.column(1).filter(hit)], ["a", "b"])
 
     return run
@@ -340,7 +340,7 @@ def settle(edges: DataFrame, unmet: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone, keep(unmet.unionByName(edges.select(F.col("b").alias("doc_id"))).distinct().join(gone, "doc_id", "left_anti"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, size: int = 512) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents, with all their columns, without those that are near copies of one that stays.
 
     In order of doc_id, a document goes if the similarity of its shingles of `width` words to those of a lesser one that
@@ -349,7 +349,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     stay or go together.
 
     Of equal shingle sets only the least doc_id is looked at.  The others are compared where they share a band key (see
-    above).  Each round compares all members of a key with its first LEADS, not all with all; those first ones are
+    above), by their whole sets.  Each round compares all members of a key with its first LEADS, not all with all; those first ones are
     decided, and the others go on among themselves with LEADS times as many.
     """
     id_type, n = docs.schema[doc_id].dataType.simpleString(), parts(docs.sparkSession)
@@ -365,11 +365,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         unmet, pairs = pairs.where("a is null").select(F.col("b").alias("doc_id")), pairs.where("a < b")
         if drawn is None:
             members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            drawn = keep(texts.join(members, "doc_id").mapInArrow(sketches(width, size), f"doc_id {id_type}, sketch binary"))
+            drawn = keep(texts.join(members, "doc_id").mapInArrow(whole_sets(width), f"doc_id {id_type}, hashes binary"))
         # written, so that the join on a reads both sides plainly and adaptive execution can split a large group
-        half = keep(pairs.join(drawn.select(F.col("doc_id").alias("b"), F.col("sketch").alias("other")), "b").select("a", "b", "other"))
-        whole = half.join(drawn.select(F.col("doc_id").alias("a"), F.col("sketch").alias("first")), "a").select("a", "b", "first", "other")
-        edges = keep(keep(whole.mapInArrow(too_alike(similarity, size), f"a {id_type}, b {id_type}")).distinct())
+        half = keep(pairs.join(drawn.select(F.col("doc_id").alias("b"), F.col("hashes").alias("other")), "b").select("a", "b", "other"))
+        whole = half.join(drawn.select(F.col("doc_id").alias("a"), F.col("hashes").alias("first")), "a").select("a", "b", "first", "other")
+        edges = keep(keep(whole.mapInArrow(too_alike(similarity), f"a {id_type}, b {id_type}")).distinct())
         gone, undecided = settle(edges, unmet)
         lost = lost.unionByName(gone)
         if undecided.isEmpty():

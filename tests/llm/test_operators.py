@@ -359,6 +359,18 @@ def test_one_of_each_finds_all_pairs(spark):
     assert 100 < len(want) < 140 and stays(spark, texts) == want
 
 
+def test_one_of_each_is_exact_for_long_texts(spark):
+    texts = {}
+    for i in range(24):
+        words = [f"w{i}-{k}" for k in range(5004)]
+        texts[i] = " ".join(words)
+        for k in range((107 if i % 2 else 116)):  # each takes five of 5,000 shingles: similarity 0.807 or 0.792
+            words[20 + 30 * k] = "other"
+        texts[100 + i] = " ".join(words)
+    want = alike_brute(texts)
+    assert len(want) == 36 and stays(spark, texts) == want
+
+
 def test_met_rows_go_on_over_batches():
     rng = random.Random(2)
     rows = sorted((rng.randrange(9), i) for i in range(120))
