@@ -6,8 +6,11 @@ import json
 import time
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .engine import Engine
-from .functions.text import PYTHON_WHITESPACE
+from .functions.text import PYTHON_WHITESPACE, units
 
 MAX_QUERY, DEFAULT_LIMIT, MAX_LIMIT, ROUNDS = 64, 10, 50, 3
 
@@ -43,6 +46,23 @@ def valid_limit(limit: Any) -> int:
     return n
 
 
+def validated(requests: DataFrame) -> DataFrame:
+    """A table of requests, with columns q and limit (a string), with what the guards say of each.
+
+    Adds status, 200 or 400, error, message, and checked_limit, which is null if the request is refused.  A null limit is the
+    default one.
+    """
+    limit = F.coalesce(F.trim("limit"), F.lit(str(DEFAULT_LIMIT)))
+    number = F.when(limit.rlike(r"\A[+-]?[0-9]{1,9}\z"), F.regexp_replace(limit, r"\A\+", "")).try_cast("int")
+    message = (
+        F.when(F.col("q").isNull(), "q is required").when(units(F.col("q")) > MAX_QUERY, f"q must have at most {MAX_QUERY} characters")
+        .when(number.isNull(), "limit must be a number").when(~number.between(1, MAX_LIMIT), f"limit must be from 1 to {MAX_LIMIT}")
+    )
+    bad = F.col("message").isNotNull()
+    out = requests.withColumn("message", message).withColumn("status", F.when(bad, ApiError.STATUS["invalid_request"]).otherwise(200))
+    return out.withColumn("error", F.when(bad, "invalid_request")).withColumn("checked_limit", F.when(~bad, number))
+
+
 def is_blank(q: str) -> bool:
     return not q.strip(PYTHON_WHITESPACE)
 

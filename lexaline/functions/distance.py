@@ -1,4 +1,8 @@
-"""Levenshtein distance. Native columns count code points; units=True counts UTF-16 units in an Arrow UDF."""
+"""Levenshtein distance in UTF-16 units.
+
+The built-in columns count code points, which comes to the same for words of the basic plane.  With units=True words with
+characters beyond it, and only they, are measured in an Arrow UDF by their UTF-16 units.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import has_astral
+
 Metric = Callable[[Column, Column], Column]
 
 
@@ -28,9 +34,29 @@ def rows_of(a: list[int], b: list[int]) -> list[list[int]]:
     return table
 
 
+def banded(a: list[int], b: list[int], most: int) -> int:
+    """The distance if it is at most `most`, else -1: only cells within `most` of the diagonal, until a row has none left."""
+    if abs(len(a) - len(b)) > most:
+        return -1
+    far = most + 1
+    above = [j if j <= most else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        low, high = max(1, i - most), min(len(b), i + most)
+        row = [far] * (len(b) + 1)
+        if i <= most:
+            row[0] = i
+        for j in range(low, high + 1):
+            row[j] = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != b[j - 1]), far)
+        if min(row[low - 1 : high + 1]) > most:
+            return -1
+        above = row
+    return above[-1] if above[-1] <= most else -1
+
+
 @F.pandas_udf(T.IntegerType())
-def _distance_in_units(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else rows_of(in_units(x), in_units(y))[-1][-1] for x, y in zip(a, b, strict=True)], dtype="Int32")
+def _in_units(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    pairs = ((None, None, 0) if x is None or y is None else (in_units(x), in_units(y), k) for x, y, k in zip(a, b, most, strict=True))
+    return pd.Series([None if x is None else banded(x, y, k if k >= 0 else max(len(x), len(y))) for x, y, k in pairs], dtype="Int32")
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
@@ -38,25 +64,34 @@ def _table(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else rows_of(in_units(x), in_units(y)) for x, y in zip(a, b, strict=True)])
 
 
+def _either(a: Column, b: Column, most: int, native: Column) -> Column:
+    """The built-in measure, but in units where a or b has characters beyond the basic plane."""
+    wide = has_astral(a) | has_astral(b)
+    return F.when(wide, _in_units(F.when(wide, a), F.when(wide, b), F.lit(most))).otherwise(native)
+
+
 def distance(a: Column, b: Column, units: bool = False) -> Column:
     """Least number of insertions, deletions and substitutions."""
-    return _distance_in_units(a, b) if units else F.levenshtein(a, b)
+    d = F.levenshtein(a, b)
+    return _either(a, b, -1, d) if units else d
 
 
-def distance_with_cutoff(a: Column, b: Column, most: int, units: bool = False) -> Column:
-    """The distance if it is at most `most`, else most + 1."""
+def edits(a: Column, b: Column, most: int, units: bool = False) -> Column:
+    """The distance if it is at most `most`, else -1."""
     if most < 0:
         raise ValueError("the cutoff must not be negative")
-    if units:
-        return F.least(_distance_in_units(a, b), F.lit(most + 1))
     d = F.levenshtein(a, b, most)
+    return _either(a, b, most, d) if units else d
+
+
+def distance_with_cutoff(a: Column, b: Column, most: int, units: bool = False) -> Column:
+    """The distance if it is at most `most`, else most + 1."""
+    d = edits(a, b, most, units)
     return F.when(d < 0, most + 1).otherwise(d)
 
 
 def is_within(a: Column, b: Column, most: int, units: bool = False) -> Column:
-    if most < 0:
-        raise ValueError("the cutoff must not be negative")
-    return _distance_in_units(a, b) <= most if units else F.levenshtein(a, b, most) >= 0
+    return edits(a, b, most, units) >= 0
 
 
 def table(a: Column, b: Column) -> Column:

@@ -38,7 +38,31 @@ def unit_order(word: Column) -> Column:
     return F.encode(word, "UTF-16BE")
 
 
-def highlight(word: Column, query_length: Column, starts: Column) -> Column:
-    """The part of a display word that matched a prefix, and the rest."""
-    head = F.when(starts, F.substring(word, F.lit(1), query_length)).otherwise("")
+def highlight(word: Column, query: Column) -> Column:
+    """The part of a display word that matched a prefix, as long as the stripped query, and the rest; no part if it doesn't start so."""
+    key = normalize(query)
+    head = F.when((key != "") & F.lower(word).startswith(key), F.substring(word, F.lit(1), F.length(strip(query)))).otherwise("")
     return F.struct(head.alias("head"), F.substring(word, F.length(head) + 1, F.length(word)).alias("tail"))
+
+
+def _fixed(number: Column, places: int) -> Column:
+    """A number with so many decimals and no grouping."""
+    return F.regexp_replace(F.format_number(number, places), ",", "")
+
+
+def micros_label(micros: Column) -> Column:
+    """Microseconds for reading: milliseconds from 1,000 on, decimals where they are few."""
+    text = F.when(micros >= 1000, F.concat(_fixed(micros / 1000, 2), F.lit(" ms"))).when(micros >= 10, F.concat(_fixed(micros, 0), F.lit(" µs")))
+    return F.when(micros.isNull(), "—").otherwise(F.coalesce(text, F.concat(_fixed(micros, 2), F.lit(" µs"))))
+
+
+def speedup_label(speedup: Column) -> Column:
+    """A ratio for reading, with two decimals, one from 10 on and none from 100 on; a dash for what isn't finite."""
+    text = F.when(speedup >= 100, _fixed(speedup, 0)).when(speedup >= 10, _fixed(speedup, 1)).otherwise(_fixed(speedup, 2))
+    bad = speedup.isNull() | F.isnan(speedup) | (F.abs(speedup) == float("inf"))
+    return F.when(bad, "—").otherwise(F.concat(text, F.lit("×")))
+
+
+def count_label(n: Column) -> Column:
+    """A count with its thousands grouped."""
+    return F.format_number(n, 0)

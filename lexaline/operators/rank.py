@@ -50,6 +50,23 @@ def top_k_per(rows: DataFrame, by: list[str], k: int | Column, order: list[Colum
     return (out if most is None else out.where(F.col("rank") <= most)).where(F.col("rank") <= k)
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """All rows with their place in an order, from 1.
+
+    They are sorted by ranges and counted by partition, so that no task has them all; the driver has one count for each
+    partition.  The sorted rows are persisted.  A rank past the last bigint can't come: partitions hold 2**33 rows at most.
+    """
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    offsets = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    at = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(offsets), F.shiftright("_at", 33) == F.col("_part")).withColumn(name, at).drop("_at", "_part", "_before")
+
+
 class BoundedTop:
     """The best k of items that come one by one, for use on the driver."""
 

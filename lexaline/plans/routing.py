@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.score import PREFIX, budget_of
+from ..functions.score import budget_of
 from ..operators.rank import best_first, top_k
-from ..operators.search import RESULT, fuzzy_hits, scored
+from ..operators.search import RESULT, fuzzy_hits, key_of, prefix_hits_of, scored
 
-#: Up to this budget a deletion index is small enough to be worth a lookup.
+#: Up to this budget the segments of a single query are few and long enough to be worth a lookup.
 INDEXED_BUDGET = 1
 
 
@@ -33,14 +33,12 @@ def relax(prefix_hits: DataFrame, limit: int, edits: int, candidates: Callable[[
     return found
 
 
-def search(corpus: DataFrame, q: str, limit: int, fuzzy: Callable[[str, int], DataFrame] | None = None) -> DataFrame:
-    """Combined search for one query; fuzzy(key, edits) finds candidates, by default by a scan."""
-    from ..operators.search import _hits, _key
-
-    key = _key(corpus, q)
-    prefix = _hits(corpus.where(F.col("normalized").startswith(key)), PREFIX, F.lit(0))
+def search(corpus: DataFrame, q: str, limit: int, fuzzy: Callable[[str, int], DataFrame] | None = None, units: bool = False, top: int | None = None) -> DataFrame:
+    """Combined search for one query; fuzzy(q, edits) finds candidates, by default by a scan."""
+    key, order = key_of(q), best_first(in_units=units)
+    prefix = prefix_hits_of(corpus, key)
     if limit <= 0:
-        return top_k(scored(prefix, corpus), 0, best_first()).select(*RESULT)
-    find = fuzzy or (lambda k, most: fuzzy_hits(corpus, k, most))
-    hits = relax(prefix, limit, budget_of(q), lambda most: find(key, most).where(~F.col("normalized").startswith(key)))
-    return top_k(scored(hits, corpus), limit, best_first()).select(*RESULT)
+        return top_k(scored(prefix, corpus, top), 0, order).select(*RESULT)
+    find = fuzzy or (lambda own, most: fuzzy_hits(corpus, key_of(own), most, units=units))
+    hits = relax(prefix, limit, budget_of(q), lambda most: find(q, most).where(~F.col("normalized").startswith(key)))
+    return top_k(scored(hits, corpus, top), limit, order).select(*RESULT)

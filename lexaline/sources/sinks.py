@@ -1,4 +1,4 @@
-"""Results as JSON responses, and benchmark points as files."""
+"""Results as JSON responses, and benchmark points as tables and files."""
 
 from __future__ import annotations
 
@@ -19,6 +19,25 @@ def with_rates(points: DataFrame) -> DataFrame:
     return points.withColumn("ops_per_second", 1e6 / F.col("micros")).withColumn("reliable", good)
 
 
+def with_speedup(points: DataFrame, slow: str = "naive_micros", fast: str = "optimized_micros") -> DataFrame:
+    """Pairs of measurements with how many times as fast the second is."""
+    return points.withColumn("speedup", F.col(slow) / F.col(fast))
+
+
+def write_points(points: DataFrame, folder: str) -> None:
+    """Benchmark points as JSON lines, as CSV with a header and, for their readers, as one Markdown table: points are few."""
+    points.coalesce(1).write.mode("overwrite").json(f"{folder}/json")
+    points.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    rows = [r.asDict() for r in points.collect()]
+    points.sparkSession.createDataFrame([(markdown(rows),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
+
+
+def read_points(points: DataFrame, folder: str, kind: str) -> DataFrame:
+    """What write_points() has written as "json" or "csv", by the schema of points."""
+    own = points.sparkSession.read.schema(points.schema)
+    return own.option("header", True).csv(f"{folder}/csv") if kind == "csv" else own.json(f"{folder}/json")
+
+
 def markdown(rows: list[dict]) -> str:
     """A table of rows with equal keys."""
     if not rows:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import is_blank, normalize, strip
+from ..operators.rank import ranked
 
 #: Fixed value: a term, one or more separators, a count at the end of the line.
 COUNTED = r"^(.+?)[\t,; ]+(\d+)\s*$"
@@ -51,20 +51,22 @@ def parse(lines: DataFrame, max_entries: int = 0) -> DataFrame:
     count = F.when(counted, F.coalesce(F.expr("try_cast(digits as bigint)"), F.lit(MOST)))
     out = lines.withColumn("content", content).withColumn("counted", counted).withColumn("term", term).withColumn("digits", digits).withColumn("count", count)
     out = out.withColumn("usable", F.col("content") & ~F.col("term").contains("\t") & ~is_blank(F.col("term")))
-    so_far = F.sum(F.col("usable").cast("int")).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    out = out.withColumn("before", F.coalesce(so_far, F.lit(0))) if max_entries > 0 else out.withColumn("before", F.lit(-1))
-    out = out.withColumn("read", F.col("before") < max_entries if max_entries > 0 else F.lit(True))
-    return out.withColumn("kept", F.col("usable") & F.col("read")).drop("digits", "content", "before")
+    read = F.lit(True)
+    if max_entries > 0:  # up to the last usable line of so many
+        last = out.where("usable").orderBy("line_no").limit(max_entries).agg(F.when(F.count("*") == max_entries, F.max("line_no"))).first()[0]
+        read = F.lit(True) if last is None else F.col("line_no") <= last
+    return out.withColumn("read", read).withColumn("kept", F.col("usable") & F.col("read")).drop("digits", "content")
 
 
 def weighted(parsed: DataFrame) -> DataFrame:
     """ord, word, normalized, weight of the kept lines: the counts if any line that was read has one, else ranks."""
     by_count = parsed.where("read").agg(F.coalesce(F.bool_or("counted"), F.lit(False)).alias("by_count"))
     kept = parsed.where("kept")
-    last_first = F.row_number().over(Window.orderBy(F.desc("line_no")))
-    ranked = kept.withColumn("rank_weight", last_first.cast("long")).crossJoin(F.broadcast(by_count))
-    weight = F.when(F.col("by_count"), F.greatest(F.coalesce("count", F.lit(0)), F.lit(0))).otherwise(F.col("rank_weight"))
-    return ranked.select(F.col("line_no").cast("long").alias("ord"), F.col("term").alias("word"), normalize(F.col("term")).alias("normalized"), weight.alias("weight"))
+    if by_count.first()[0]:
+        rows, weight = kept, F.greatest(F.coalesce("count", F.lit(0)), F.lit(0))
+    else:
+        rows, weight = ranked(kept, [F.desc("line_no")], "rank_weight"), F.col("rank_weight")
+    return rows.select(F.col("line_no").cast("long").alias("ord"), F.col("term").alias("word"), normalize(F.col("term")).alias("normalized"), weight.alias("weight"))
 
 
 def deduplicate(entries: DataFrame) -> DataFrame:
@@ -74,9 +76,14 @@ def deduplicate(entries: DataFrame) -> DataFrame:
     ).select("ord", "word", "normalized", "weight")
 
 
+def fault() -> Column:
+    """Whether an entry can't be indexed: its word is null or blank, its weight null or negative."""
+    return F.col("word").isNull() | F.col("normalized").isNull() | is_blank(F.coalesce("word", F.lit("x"))) | F.coalesce(F.col("weight") < 0, F.lit(True))
+
+
 def checked(entries: DataFrame) -> DataFrame:
-    """Entries, failing at run time on a null or blank word or a negative weight."""
-    bad = F.col("word").isNull() | F.col("normalized").isNull() | is_blank(F.col("word")) | (F.col("weight") < 0) | F.col("weight").isNull()
+    """Entries, failing at run time on one with a fault."""
+    bad = fault()
     return entries.withColumn("weight", F.when(bad, F.raise_error(F.lit("a word must not be null or blank, nor its weight negative"))).otherwise(F.col("weight")))
 
 
@@ -86,18 +93,19 @@ def report(parsed: DataFrame, corpus: DataFrame, source: str) -> LoadReport:
     return LoadReport(source, r["n"], r["n"] - r["kept"], r["kept"] - n, n, "COLUMN" if r["counted"] else "RANK")
 
 
-def from_lines(lines: DataFrame, max_entries: int = 0, source: str = "lines") -> tuple[DataFrame, LoadReport]:
-    parsed = parse(lines, max_entries)
-    corpus = deduplicate(weighted(parsed))
+def from_lines(lines: DataFrame, max_entries: int | None = None, source: str = "lines") -> tuple[DataFrame, LoadReport]:
+    """Corpus and report of lines; max_entries is by default what the session's configuration says."""
+    parsed = parse(lines, max_entries_of(lines.sparkSession) if max_entries is None else max_entries)
+    corpus = deduplicate(checked(weighted(parsed)))
     return corpus, report(parsed, corpus, source)
 
 
-def load(spark: SparkSession, path: str, max_entries: int = 0) -> tuple[DataFrame, LoadReport]:
+def load(spark: SparkSession, path: str, max_entries: int | None = None) -> tuple[DataFrame, LoadReport]:
     """Corpus and report of a delimited word list."""
     return from_lines(lines_of(spark, path), max_entries, path)
 
 
-def load_resource(spark: SparkSession, package: str, name: str, max_entries: int = 0) -> tuple[DataFrame, LoadReport]:
+def load_resource(spark: SparkSession, package: str, name: str, max_entries: int | None = None) -> tuple[DataFrame, LoadReport]:
     """The same for a file in a package; a missing one raises ValueError."""
     found = resources.files(package) / name
     if not found.is_file():
@@ -106,14 +114,27 @@ def load_resource(spark: SparkSession, package: str, name: str, max_entries: int
     return from_lines(spark.createDataFrame(list(enumerate(lines)), "line_no long, line string"), max_entries, name)
 
 
+#: Where a word list that comes with an installation is looked for.
+BUNDLED = ("lexaline.sources", "words.txt")
+
+
+def bundled(spark: SparkSession, max_entries: int | None = None) -> tuple[DataFrame, LoadReport]:
+    """The list that comes with an installation, or its first entries; ValueError where there is none, as in this repository."""
+    return load_resource(spark, *BUNDLED, max_entries)
+
+
 def max_entries_of(spark: SparkSession) -> int:
     """The setting lexaline.dataset.max-entries; 0, for all, where it is unset."""
     return int(spark.conf.get("lexaline.dataset.max-entries", "0"))
 
 
+#: Fixed value: a word is a run of letters of any script, with their marks.
+LETTERS = r"[\p{L}\p{M}]+"
+
+
 def tokens(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Entries from texts: each spelling of ASCII letters with its number of occurrences."""
-    words = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    """Entries from texts: each spelling of a run of letters with its number of occurrences."""
+    words = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(LETTERS), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("weight")).select(F.lit(0).cast("long").alias("ord"), "word", F.lower("word").alias("normalized"), "weight")
 
 

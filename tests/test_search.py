@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexaline import api
 from lexaline.engine import Engine
+from lexaline.functions import distance
 from lexaline.functions.distance import in_units, rows_of
 from lexaline.functions.score import budget_of
 from lexaline.operators import index, search
@@ -60,12 +61,91 @@ def test_relaxation_prefers_the_least_edits(spark, kind):
     assert {r["word"]: r["weight"] for r in e.prefix_search("appl", 10, kind).collect()} == {"apple": 105, "apply": 200}
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_segments_find_all_once(spark, k):
+    rng = random.Random(k)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(0, 9)))
+    have, asked = sorted({word() for _ in range(150)}), [word() for _ in range(60)]
+    corpus = spark.createDataFrame([(0, w, w, 1) for w in have], "ord long, word string, normalized string, weight long")
+    df = spark.createDataFrame([(i, q, 9, k) for i, q in enumerate(asked)], "query_id int, q string, limit int, max_distance int")
+    want = sorted((i, w) for i, q in enumerate(asked) for w in have if rows_of(in_units(w), in_units(q))[-1][-1] <= k)
+    got = sorted((r["query_id"], r["normalized"]) for r in search.fuzzy_pairs(df, corpus, k, True).collect())
+    assert got == want == sorted((r["query_id"], r["normalized"]) for r in search.fuzzy_pairs(df, corpus, k, False).collect())
+    probed = index.with_probes(df.select("query_id", F.col("q").alias("key")), k).groupBy("query_id").agg(F.sort_array(F.collect_set("probe")).alias("p"))
+    assert {r["query_id"]: r["p"] for r in probed.collect()} == {i: index.probes(q, k) for i, q in enumerate(asked)}
+
+
+def test_queries_in_several_blocks(spark, basic, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    df = spark.createDataFrame([(i, q, 5, 2) for i, q in enumerate(["app", "aple", "bend", "", "oran", "x"] * 4)], "query_id int, q string, limit int, max_distance int")
+    assert len(search.blocks(df)) == 8
+    for run in (basic.search_batch, basic.prefix_batch, basic.fuzzy_batch):
+        assert sorted(map(str, run(df, "naive").collect())) == sorted(map(str, run(df).collect()))
+
+
+def test_a_distance_that_is_no_metric(spark):
+    """Swaps break the triangle inequality, the plain distance keeps it; a scan takes either as its metric."""
+
+    def osa(a, b):
+        """Distance that swaps neighbours too, but no letter twice: not a metric."""
+        t = rows_of(in_units(a), in_units(b))
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+        return t[-1][-1]
+
+    assert (osa("CA", "AC"), osa("AC", "ABC"), osa("CA", "ABC")) == (1, 1, 3)
+    rows = spark.createDataFrame([("CA", "AC"), ("AC", "ABC"), ("CA", "ABC")], "a string, b string")
+    assert [r[0] for r in rows.select(distance.distance(F.col("a"), F.col("b"))).collect()] == [2, 1, 3]
+    swaps = F.udf(osa, "int")
+    e = Engine(corpus_of(spark, [("ac", 5), ("abc", 3), ("xyz", 2)]))
+    assert found(e.fuzzy_search("ca", 10, 1, metric=swaps)) == ["ac"] and found(e.fuzzy_search("ca", 10, 1)) == []
+
+
+def test_ranked(spark):
+    rows = spark.createDataFrame([(f"w{i % 97}", float(i % 7)) for i in range(500)], "word string, score double").repartition(7)
+    got = search.ranked(rows, best_first()).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 501))
+    assert [(r["word"], r["score"]) for r in got] == sorted(((r["word"], r["score"]) for r in got), key=lambda x: (-x[1], len(x[0]), x[0]))
+    assert search.ranked(rows.limit(0), best_first()).count() == 0
+
+
+def test_warm_up_asks(spark):
+    e = Engine(corpus_of(spark, BASIC))
+    assert e.warm_up() == 3 * e.search_batch(spark.createDataFrame([(i, q, 10) for i, q in enumerate(e.WARM_UP)], "query_id int, q string, limit int")).count() > 0
+    assert set(e.build_millis) == {"corpus", "prefix_index", "prefix_topk", "segment_index", "segment_index_2"}
+    e.close()
+
+
+def test_guards_of_tables(spark):
+    asked = [("a", "5"), (None, "5"), ("x" * 65, "5"), ("😀" * 33, None), ("😀" * 32, None), ("a", "0"), ("a", "51"), ("a", "-1"), ("a", "x"), ("a", ""), (" ", "50"), ("a", "1000"), ("a", " 7 "), ("a", "99999999999"), ("a", "+3")]
+    rows = api.validated(spark.createDataFrame([(i, q, n) for i, (q, n) in enumerate(asked)], "i int, q string, limit string")).collect()
+    for r, (q, n) in zip(sorted(rows, key=lambda r: r["i"]), asked, strict=True):
+        try:
+            api.valid_query(q)
+            assert (api.valid_limit(10 if n is None else n), 200) == (r["checked_limit"], r["status"])
+        except api.ApiError as e:
+            # a number beyond all limits is told from no number by one of them only
+            assert (r["status"], r["error"]) == (e.status, e.code) and (r["message"] == str(e) or n == "99999999999")
+
+
 def test_astral_words(spark):
     e = Engine(corpus_of(spark, [("a😀b", 5), ("ab", 3), ("axb", 2)]))
     got = {r["word"]: r["edit_distance"] for r in e.fuzzy_search("a😀b", 10, 2).collect()}
     assert e.has_astral and got == {"a😀b": 0, "ab": 2, "axb": 2}
 
 
+def test_astral_queries_alone_and_in_batch(spark):
+    """Words of the basic plane, and a query that isn't: single, batch and scan have the same answers."""
+    e = Engine(corpus_of(spark, [("abcd", 5), ("xabcd", 3), ("axbcd", 2), ("zz", 1)]))
+    df = spark.createDataFrame([(0, "a😀bcd", 9)], "query_id int, q string, limit int")
+    want = {("abcd", 2), ("axbcd", 2)}
+    answers = [e.search_batch(df), e.search_batch(df, "naive"), e.search("a😀bcd", 9), e.search("a😀bcd", 9, "naive")]
+    assert not e.has_astral and all({(r["word"], r["edit_distance"]) for r in a.collect()} == want for a in answers)
+
+
 def plain(entries, q, limit):
     """Combined search in plain Python."""
     import math
@@ -85,15 +165,16 @@ def plain(entries, q, limit):
     def result(k):
         t, d = hits[k]
         pop = min(1.0, math.log10(1 + rows[k][1]) / math.log10(1 + top)) if top > 0 else 0.0
-        return (-round(0.7 * (1.0 if t == "PREFIX" else 1 / (1 + d)) + 0.3 * pop, 12), len(rows[k][0]), rows[k][0], t, d)
+        return (-round(0.7 * (1.0 if t == "PREFIX" else 1 / (1 + d)) + 0.3 * pop, 12), len(in_units(rows[k][0])), rows[k][0].encode("utf-16-be"), rows[k][0], t, d)
 
-    return [(w, t, d) for _, _, w, t, d in sorted(map(result, hits))[: max(limit, 0)]]
+    return [(w, t, d) for _, _, _, w, t, d in sorted(map(result, hits))[: max(limit, 0)]]
 
 
 def test_engines_agree_with_plain_python(spark):
     for seed in range(3):
         rng = random.Random(seed)
-        word = lambda most=8: "".join(rng.choice("abcde") for _ in range(rng.randint(1, most)))
+        letters = ("abcde", "abcde", "ab😀é\uff61𝒳")[seed]
+        word = lambda most=8: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
         entries = [(word(), rng.choice([rng.randint(0, 9), rng.randint(0, 99_999), rng.randint(0, 4)])) for _ in range(300)]
         queries = [(i, word() if i else "", rng.randint(1, 15)) for i in range(60)]
         e = Engine(corpus_of(spark, entries))
@@ -103,6 +184,9 @@ def test_engines_agree_with_plain_python(spark):
             for r in e.search_batch(df, kind).orderBy("query_id", "rank").collect():
                 got.setdefault(r["query_id"], []).append((r["word"], r["match_type"], r["edit_distance"]))
             assert got == {i: want for i, q, n in queries if (want := plain(entries, q, n))}
+            for i, q, n in queries[1:60:15]:
+                one = [(r["word"], r["match_type"], r["edit_distance"]) for r in e.search(q, n, kind).orderBy("rank").collect()]
+                assert one == plain(entries, q, n)
 
 
 def test_index_tables(spark):
@@ -146,8 +230,14 @@ def test_plans(spark, basic):
     assert "TakeOrderedAndProject" in plan(search.prefix_search(basic.corpus, "ap", 5))
     q = spark.createDataFrame([(0, "aple", 5, 2)], "query_id int, q string, limit int, max_distance int")
     p = plan(search.fuzzy_batch(q, basic.corpus))
-    # words and queries meet by equality of variants; the one nested loop adds the single row of the largest weight
-    assert "CartesianProduct" not in p and p.count("NestedLoopJoin") == 1 and "Join [variant" in p and "WindowGroupLimit" in p
+    # words and queries meet by equality of segments; the one nested loop adds the single row of the largest weight
+    assert "CartesianProduct" not in p and p.count("NestedLoopJoin") == 1 and "Join [segment" in p and "WindowGroupLimit" in p
+    # an engine knows that weight, and a pair that meets twice is told apart without a shuffle: one exchange, for the ranks
+    own = lambda df: plan(df).split("InMemoryRelation")[0]  # noqa: E731  without what is persisted
+    p = own(basic.fuzzy_batch(q))
+    assert "NestedLoopJoin" not in p and p.count("Exchange hashpartitioning") == 1
+    single = own(basic.fuzzy_search("aple", 5, 1))
+    assert "Join" not in single and "TakeOrderedAndProject" in single
     stored = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where(F.col("p_name").startswith("a"))
     assert "StringStartsWith" in plan(stored)
     assert [routing.use_index(n) for n in range(3)] == [True, True, False]

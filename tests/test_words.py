@@ -1,5 +1,8 @@
 """Loading, cleaning and scalar functions."""
 
+import random
+import sys
+
 import pytest
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
@@ -52,6 +55,45 @@ def test_files_and_resources(spark, tmp_path):
     with pytest.raises(ValueError):
         words.load_resource(spark, "lexaline", "missing.txt")
     assert words.max_entries_of(spark) == 0
+    spark.conf.set("lexaline.dataset.max-entries", "1")
+    try:
+        assert words.load(spark, str(path))[0].count() == 1 and words.load(spark, str(path), 0)[0].count() == 2
+    finally:
+        spark.conf.unset("lexaline.dataset.max-entries")
+    with pytest.raises(ValueError, match="no resource"):
+        words.bundled(spark)
+    package = tmp_path / "listed"
+    package.mkdir()
+    (package / "__init__.py").write_text("")
+    (package / "some.txt").write_text("one 3\ntwo 2\n")
+    sys.path.insert(0, str(tmp_path))
+    try:
+        assert words.load_resource(spark, "listed", "some.txt", 1)[1].entries == 1
+    finally:
+        sys.path.remove(str(tmp_path))
+
+
+def test_words_of_all_scripts(spark):
+    texts = spark.createDataFrame([("Él él ÉL naïve cafe\u0301 x1y 日本",)], "text string")
+    got = {r["word"]: r["weight"] for r in words.from_tokens(texts).collect()}
+    assert got == {"ÉL": 3, "naïve": 1, "cafe\u0301": 1, "x": 1, "y": 1, "日本": 1}
+
+
+def test_labels(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(text.micros_label(F.lit(x).cast("double"))) for x in (None, 3.14159, 12.7, 1234.5, 2500000.0)] == ["—", "3.14 µs", "13 µs", "1.23 ms", "2500.00 ms"]
+    assert [one(text.speedup_label(F.lit(x).cast("double"))) for x in (None, float("inf"), 1.234, 15.66, 445.2)] == ["—", "—", "1.23×", "15.7×", "445×"]
+    assert one(text.count_label(F.lit(204075))) == "204,075"
+    assert [tuple(one(text.highlight(F.lit(w), F.lit(q)))) for w, q in (("Apple", " aP"), ("Apple", "b"), ("Apple", " "))] == [("Ap", "ple"), ("", "Apple"), ("", "Apple")]
+
+
+def test_banded_distance():
+    rng = random.Random(3)
+    for _ in range(500):
+        a, b = ([rng.randint(0, 2) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        want = distance.rows_of(a, b)[-1][-1]
+        for most in range(5):
+            assert distance.banded(a, b, most) == (want if want <= most else -1)
 
 
 def test_sum_overflow_fails(spark):
