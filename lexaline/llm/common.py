@@ -8,17 +8,18 @@ one row per chunk, and no task holds more than a chunk's texts or a shard's keys
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..folders import delete, work_dir
 
 #: Stored bytes of a table for each chunk.
 CHUNK_BYTES = 8 << 20
@@ -29,25 +30,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset, as in tests, under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="lexaline-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        base = _own[app]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that keep() wrote, once all that is made from them is written itself."""
+    for table in tables:
+        delete(table.sparkSession, table._kept_at)
 
 
 def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: later plans start from files, not from df's lineage.
 
-    The write's shuffle files go when it ends, since nothing reads them again.
+    The write's shuffle files go when it ends, since nothing reads them again; the setting for that is read when the
+    write is planned, and is put back.
     """
     spark = df.sparkSession
     path = folder or work_dir(spark)
@@ -57,7 +50,9 @@ def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
 def parts(spark: SparkSession) -> int:
@@ -72,8 +67,14 @@ def chunk_count(table: DataFrame, text: str = "text", stored: int = CHUNK_BYTES)
     return max(parts(table.sparkSession), math.ceil(size / stored))
 
 
+def integer_id(table: DataFrame, name: str) -> None:
+    """TypeError unless a table's ids are of an integer type."""
+    if not isinstance(table.schema[name].dataType, T.IntegralType):
+        raise TypeError(f"{name} must be of an integer type, not {table.schema[name].dataType.simpleString()}")
+
+
 def chunk_of(doc_id: str, text: str, chunks: int):
-    """The chunk of a document, by its id; by its text where it has none."""
+    """The chunk of a document, by its id; by its text where it has none, so that equal texts without an id share one."""
     return F.pmod(F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.lit("chunk"), doc_id)), F.lit(chunks)).cast("int")
 
 
@@ -102,6 +103,49 @@ def texts_of(column: pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class Vocabulary(dict):
+    """Word to its number, in order of first sight."""
+
+    def __init__(self):
+        self._hashes = np.empty(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def hashes(self) -> np.ndarray:
+        """The 64-bit hash of each number's word."""
+        if (have := len(self._hashes)) < len(self):
+            self._hashes = np.concatenate((self._hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, islice(self, have, None)), np.uint64, len(self) - have)))
+        return self._hashes
+
+
+def numbered(texts: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words as numbers, end to end, and where each text begins, with the end of the last."""
+    own = [np.fromiter(map(words.__getitem__, ws), np.int32, len(ws)) for ws in (t.split() for t in texts)]
+    at = np.zeros(len(own) + 1, np.int64)
+    np.cumsum([len(a) for a in own], out=at[1:])
+    return np.concatenate([np.empty(0, np.int32), *own]), at
+
+
+def rolled(h: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """Hash of each run of width words, by doubling: a run is two shorter runs, or such and a word."""
+    if len(h) < width:
+        return np.empty(0, np.uint64)
+    f = lambda n: np.uint64(pow(factor, n, 1 << 64))
+    out, n = h, 1
+    for bit in bin(width)[3:]:
+        out, n = out[: len(out) - n] * f(n) + out[n:], 2 * n
+        if bit == "1":
+            out, n = out[:-1] * f(1) + h[n:], n + 1
+    return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def merged(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct sorted keys and each column's sum over equal keys."""
     if not len(keys):

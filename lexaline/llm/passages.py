@@ -3,18 +3,21 @@
 A window is WINDOW consecutive words of one document.  Each word that lies in a window whose word sequence also
 starts in a document with a smaller doc_id goes.
 
-1. Anchors.  Among the PHRASE-word phrases that start in each stretch of WINDOW - PHRASE + 1 words, the one
-   with the least hash is an anchor (winnowing), so every window holds one and equal windows hold the same.
-   Chunks of documents send their distinct anchors to shards, and get back those of two or more documents.
-2. Automata.  Each chunk compiles its recurring phrases into Aho-Corasick automata, PATTERNS to each, a word
-   being three symbols, and streams all of its documents through them.  Only windows around an occurrence
-   can recur.
-3. Confirmation.  Those windows' 96-bit hashes go, once per chunk, to shards, which answer with the
-   smallest doc_id of each that two or more documents hold.  A chunk drops the words of windows whose
-   smallest doc_id is smaller than their own document's.
-
-What is sent is distinct per chunk: a passage that a third of all documents hold is one row per chunk.
-Nothing is capped; a phrase that is common only makes more windows be confirmed.
+1. Recurring passages are confirmed.  Among the PHRASE-word phrases that start in each stretch of WINDOW - PHRASE + 1
+   words, the one with the least hash is an anchor (winnowing), so equal windows hold equal anchors.  Chunks of
+   documents send their distinct anchors to shards and learn which of them two or more documents hold; then the
+   96-bit hashes of the windows around those go the same way.  The smallest document of a window that recurs
+   owns it, and its chunk learns which chunks hold it besides.
+2. Automata are compiled, a shard for each chunk.  The owner's recurring windows, run together to passages, go as
+   words to the chunks that hold them.  There, of every passage each phrase of PHRASE words at a multiple of
+   WINDOW - PHRASE + 1 becomes a pattern, so that every window of a passage has one whole; PATTERNS go to each
+   Aho-Corasick automaton.
+3. All documents of the chunk are streamed through its automata.  From each occurrence the equal words of document
+   and passage are followed both ways, and runs of a window or more go if the owner is smaller.
+
+Only what the automata locate is removed, and words decide, not hashes.  A chunk has the passages that its own
+documents hold, so a document is streamed once, however many passages the corpus has.  What is sent is distinct per
+chunk: a passage that a third of all documents hold goes to each chunk once.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -25,102 +28,116 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, chunk_of, keep, pack, parts, texts_of, unpack
+from .common import Vocabulary, chunk_count, chunk_of, discard, integer_id, keep, mixed, numbered, pack, rolled, texts_of, unpack
 
-WINDOW, PHRASE, PATTERNS = 50, 20, 20_000
-NONE = np.iinfo(np.int64).max
+WINDOW, PHRASE, PATTERNS, BLOCK = 50, 20, 20_000, 4 << 20
 #: A word is DIGITS symbols of BASE in an automaton, whose nodes then have few children; OTHER stands in words of no phrase.
 BASE, DIGITS, OTHER = 128, 3, 1000
 
 
-class Vocabulary(dict):
-    """Word to its number, in order of first sight."""
+def in_blocks(docs: pa.Table, words: Vocabulary):
+    """(ids, numbers, begins) of the documents that have an id, about BLOCK bytes of text at a time."""
+    docs = docs.filter(pa.compute.is_valid(docs["doc_id"]))
+    texts, ids = texts_of(docs["text"]), docs["doc_id"].to_numpy().astype(np.int64)
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= BLOCK or i == len(texts) - 1:
+            yield ids[first : i + 1], *numbered(texts[first : i + 1], words)
+            first, size = i + 1, 0
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
 
+def phrases(h: np.ndarray, width: int = PHRASE) -> np.ndarray:
+    return mixed(rolled(h, width, 0x9E3779B97F4A7C15))
 
-def numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each text's words as numbers, and the 64-bit hash of each number's word."""
-    words, out = Vocabulary(), []
-    for text in texts:
-        own = text.split()
-        out.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
-    return out, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
+def windows(h: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """(windows, 2) hashes, of 64 and of 32 bits for each window."""
+    return np.stack((mixed(rolled(h, width, 0xC2B2AE3D27D4EB4F)), mixed(rolled(h, width, 0xFF51AFD7ED558CCD)) >> np.uint64(32)), 1)
 
-def rolled(h: np.ndarray, width: int, factor: int) -> np.ndarray:
-    """Hash of each run of width words, by doubling: a run is two shorter runs, or such and a word."""
-    if len(h) < width:
-        return np.empty(0, np.uint64)
-    f = lambda n: np.uint64(pow(factor, n, 1 << 64))
-    out, n = h, 1
-    for bit in bin(width)[3:]:
-        out, n = out[: len(out) - n] * f(n) + out[n:], 2 * n
-        if bit == "1":
-            out, n = out[:-1] * f(1) + h[n:], n + 1
-    return out
 
+def fits(at: np.ndarray, width: int) -> np.ndarray:
+    """Which places have width words of their own text ahead, their own included."""
+    return np.arange(at[-1]) + width <= np.repeat(at[1:], np.diff(at))
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
 
+def sliding(f, a: np.ndarray, n: int) -> np.ndarray:
+    """f over each n neighbours, by doubling."""
+    if len(a) < n:
+        return a[:0]
+    out, m = a, 1
+    while 2 * m <= n:
+        out, m = f(out[: len(out) - m], out[m:]), 2 * m
+    rest = n - m
+    return f(out[: len(out) - rest], out[rest:]) if rest else out
 
-def phrases(h: np.ndarray, width: int = PHRASE) -> np.ndarray:
-    return mixed(rolled(h, width, 0x9E3779B97F4A7C15))
 
+def anchors(p: np.ndarray, at: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Starts of the phrases that are the least of some stretch within a text."""
+    stretch = window - phrase + 1
+    low = sliding(np.minimum, p, stretch)
+    low = np.where(fits(at, window)[: len(low)], low, np.uint64(0))
+    # no stretch's least exceeds a phrase in it, so a phrase is chosen if it is the greatest of them
+    edge = np.zeros(stretch - 1, np.uint64)
+    top = sliding(np.maximum, np.concatenate((edge, low, edge)), stretch)[: len(p)]
+    return np.flatnonzero((top == p[: len(top)]) & (top > 0))
 
-def windows(h: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """(windows, 2) hashes, of 64 and of 32 bits for each window."""
-    return np.stack((mixed(rolled(h, width, 0xC2B2AE3D27D4EB4F)), mixed(rolled(h, width, 0xFF51AFD7ED558CCD)) >> np.uint64(32)), 1)
 
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """What sorts keys, or rows of keys."""
+    if keys.ndim == 1:
+        return np.argsort(keys, kind="stable")
+    order = np.argsort(keys[:, 0], kind="stable")
+    a, b = keys[order, 0], keys[order, 1]
+    if ((a[1:] == a[:-1]) & (b[1:] < b[:-1])).any():  # equal first halves are nearly always equal keys
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+    return order
 
-def anchors(p: np.ndarray, stretch: int) -> np.ndarray:
-    """Starts of the phrases that are the least of some stretch; none where the text has no window."""
-    if len(p) < stretch:
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where new keys begin among sorted ones."""
+    if not len(keys):
         return np.empty(0, np.int64)
-    # least of each stretch from its two halves by doubling
-    low, n = p, 1
-    while 2 * n <= stretch:
-        low, n = np.minimum(low[: len(low) - n], low[n:]), 2 * n
-    rest = stretch - n
-    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    # a phrase is chosen if it equals the least of a stretch that covers it: equal ones are all chosen
-    chosen = np.zeros(len(p), bool)
-    for d in range(stretch):
-        chosen[d : d + len(low)] |= p[d : d + len(low)] == low
-    return np.flatnonzero(chosen)
+    differ = (keys[1:] != keys[:-1]).any(1) if keys.ndim == 2 else keys[1:] != keys[:-1]
+    return np.flatnonzero(np.concatenate(([True], differ)))
 
 
 def least(keys: np.ndarray, docs: np.ndarray, last: np.ndarray | None = None):
-    """Distinct rows of keys, with the least and largest doc of each."""
+    """Distinct keys in order, with the least and largest doc of each."""
     if not len(keys):
         return keys, docs, docs
-    order = np.lexsort(keys.T[::-1]) if keys.ndim == 2 else np.argsort(keys, kind="stable")
+    order = in_order(keys)
     keys, docs, last = keys[order], docs[order], (docs if last is None else last)[order]
-    differ = (keys[1:] != keys[:-1]).any(1) if keys.ndim == 2 else keys[1:] != keys[:-1]
-    first = np.flatnonzero(np.concatenate(([True], differ)))
+    first = firsts(keys)
     return keys[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(last, first)
 
 
-SENT = pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("low", pa.binary()), ("more", pa.binary())])
-SENT_ROW = "chunk int, shard long, keys binary, low binary, more binary"
-REPLY = "chunk int, keys binary, low binary"
+def found_at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted row stands among sorted rows of keys; -1 where it doesn't."""
+    at = np.searchsorted(keys[:, 0], wanted[:, 0])
+    while True:  # first halves are distinct but for rare collisions
+        here = at < len(keys)
+        here[here] = keys[at[here], 0] == wanted[here, 0]
+        less = here.copy()
+        less[here] = keys[at[here], 1] < wanted[here, 1]
+        if not less.any():
+            break
+        at[less] += 1
+    here[here] = keys[at[here], 1] == wanted[here, 1]
+    return np.where(here, at, -1)
 
 
-def by_shard(chunk: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, shards: int) -> pa.Table:
-    lead = keys[:, 0] if keys.ndim == 2 else keys
-    at = ((lead >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0))) if len(at) else []
-    rows = [{"chunk": chunk, "shard": int(at[i[0]]), "keys": packed(keys[i]), "low": pack(low[i]), "more": pack(high[i] - low[i])} for i in (np.split(order, first[1:]) if len(at) else [])]
-    return pa.Table.from_pylist(rows, schema=SENT)
+SENT = pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("low", pa.binary()), ("more", pa.binary())])
+SENT_ROW = "chunk int, shard long, keys binary, low binary, more binary"
+OWNED = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()), ("many", pa.binary()), ("chunks", pa.binary())])
+OWNED_ROW = "chunk int, keys binary, low binary, many binary, chunks binary"
+PASSAGES = pa.schema([("chunk", pa.int32()), ("owners", pa.binary()), ("texts", pa.binary())])
+PASSAGES_ROW = "chunk int, owners binary, texts binary"
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -135,153 +152,197 @@ def keys_of(blob: bytes, pairs: bool) -> np.ndarray:
     return np.stack((np.cumsum(both[0], dtype=np.uint64), both[1]), 1)
 
 
-def ids_of(docs: pa.Table) -> list[int | None]:
-    return docs["doc_id"].to_pylist()
+def by_shard(chunk: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, shards: int) -> pa.Table:
+    lead = keys[:, 0] if keys.ndim == 2 else keys
+    at = ((lead >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    rows = [{"chunk": chunk, "shard": int(at[i[0]]), "keys": packed(keys[i]), "low": pack(low[i]), "more": pack(high[i] - low[i])} for i in np.split(order, firsts(at[order])[1:]) if len(i)]
+    return pa.Table.from_pylist(rows, schema=SENT)
 
 
 def send_anchors(docs: pa.Table, shards: int, window: int, phrase: int) -> pa.Table:
     """A chunk's distinct anchors with the least and largest doc_id that holds them."""
-    keys, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    numbers, hashes = numbered(texts_of(docs["text"]))
-    for i, own in zip(ids_of(docs), numbers, strict=True):
-        if i is not None:
-            p = phrases(hashes[own], phrase)
-            own = np.unique(p[anchors(p, window - phrase + 1)])
-            keys.append(own)
-            of.append(np.full(len(own), i, np.int64))
+    keys, of, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], Vocabulary()
+    for ids, numbers, at in in_blocks(docs, words):
+        p = phrases(words.hashes()[numbers], phrase)
+        spots = anchors(p, at, window, phrase)
+        keys.append(p[spots])
+        of.append(ids[np.searchsorted(at, spots, "right") - 1])
     return by_shard(docs["chunk"][0].as_py(), *least(np.concatenate(keys), np.concatenate(of)), shards)
 
 
-def recurring(table: pa.Table, pairs: bool) -> pa.Table:
-    """For each chunk its keys that two or more documents hold, with the least doc_id of each."""
-    blobs = table["keys"].to_pylist()
-    own = [keys_of(b, pairs) for b in blobs]
+def recurring(table: pa.Table) -> pa.Table:
+    """For each chunk its anchors that two or more documents hold."""
+    own = [keys_of(b, False) for b in table["keys"].to_pylist()]
     low, more = (np.concatenate([unpack(b, np.int64) for b in table[c].to_pylist()]) for c in ("low", "more"))
     keys, least_of, last = least(np.concatenate(own), low, low + more)
-    many = least_of != last
-    keys, least_of = keys[many], least_of[many]
+    keys = keys[least_of != last]
+    rows = [{"chunk": chunk, "keys": packed(hit)} for chunk, k in zip(table["chunk"].to_pylist(), own, strict=True) if len(hit := k[np.isin(k, keys, assume_unique=True)])]
+    return pa.Table.from_pylist(rows, schema=pa.schema([("chunk", pa.int32()), ("keys", pa.binary())]))
+
+
+def covered(starts: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
+    """Which of n places lie within [start - before, start + after] of some start."""
+    up = np.bincount(np.maximum(starts - before, 0), minlength=n + 1)
+    return np.cumsum(up - np.bincount(np.minimum(starts + after + 1, n), minlength=n + 1))[:n] > 0
+
+
+def send_windows(docs: pa.Table, found: pa.Table, shards: int, window: int, phrase: int) -> pa.Table:
+    """A chunk's distinct windows around recurring anchors, with the least and largest doc_id that holds them."""
+    if not docs.num_rows or not found.num_rows:
+        return SENT.empty_table()
+    known = np.sort(np.concatenate([keys_of(b, False) for b in found["keys"].to_pylist()]))
+    keys, of, words = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], Vocabulary()
+    for ids, numbers, at in in_blocks(docs, words):
+        h = words.hashes()[numbers]
+        p = phrases(h, phrase)
+        spots = anchors(p, at, window, phrase)
+        spots = spots[known[np.minimum(np.searchsorted(known, p[spots]), len(known) - 1)] == p[spots]]
+        near = np.flatnonzero(covered(spots, len(h), window - phrase, 0) & fits(at, window))
+        if len(near):
+            keys.append(windows(h, window)[near])
+            of.append(ids[np.searchsorted(at, near, "right") - 1])
+    return by_shard(docs["chunk"][0].as_py(), *least(np.concatenate(keys), np.concatenate(of)), shards)
+
+
+def owned(table: pa.Table) -> pa.Table:
+    """For each chunk the recurring windows whose least document it has, and the chunks where larger documents hold them."""
+    own = [keys_of(b, True) for b in table["keys"].to_pylist()]
+    low, more = (np.concatenate([unpack(b, np.int64) for b in table[c].to_pylist()]) for c in ("low", "more"))
+    keys, chunk = np.concatenate(own), np.repeat(table["chunk"].to_numpy(), [len(k) for k in own])
+    order = in_order(keys)
+    keys, chunk, low, high = keys[order], chunk[order], low[order], (low + more)[order]
+    first = firsts(keys)
+    size = np.diff(first, append=len(keys))
+    smallest = np.repeat(np.minimum.reduceat(low, first), size)
+    owner = np.repeat(chunk[low == smallest], size)  # rows of a doc_id are all in one chunk
+    wanted = high > smallest
+    keys, chunk, low, owner = keys[wanted], chunk[wanted], smallest[wanted], owner[wanted]
+    order = np.argsort(owner, kind="stable")
     rows = []
-    for chunk, k in zip(table["chunk"].to_pylist(), own, strict=True):
-        if pairs:  # both parts of a hash as one value
-            big = np.dtype([("a", "<u8"), ("b", "<u8")])
-            all_, mine = (np.ascontiguousarray(x).view(big).ravel() for x in (keys, k))
-            at = np.searchsorted(keys[:, 0], k[:, 0])
-            while True:  # first halves are distinct but for rare collisions
-                off = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1), 0] == k[:, 0]) if len(keys) else np.zeros(len(k), bool)
-                differ = off.copy()
-                differ[off] = (all_[at[off]] != mine[off]) & (keys[at[off], 1] < k[off, 1])
-                if not differ.any():
-                    break
-                at[differ] += 1
-            hit = off
-            hit[off] = all_[at[off]] == mine[off]
-        else:
-            at = np.searchsorted(keys, k)
-            hit = at < len(keys)
-            hit[hit] = keys[at[hit]] == k[hit]
-        if hit.any():
-            rows.append({"chunk": chunk, "keys": packed(k[hit]), "low": pack(least_of[at[hit]])})
-    return pa.Table.from_pylist(rows, schema=pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("low", pa.binary())]))
+    for i in np.split(order, firsts(owner[order])[1:]):
+        if len(i):
+            one = firsts(keys[i])
+            rows.append({"chunk": int(owner[i[0]]), "keys": packed(keys[i][one]), "low": pack(low[i][one]), "many": pack(np.diff(one, append=len(i)).astype(np.int32)), "chunks": pack(chunk[i].astype(np.int32))})
+    return pa.Table.from_pylist(rows, schema=OWNED)
+
+
+def send_passages(docs: pa.Table, found: pa.Table, window: int) -> pa.Table:
+    """The passages that a chunk's documents own, for each chunk that holds some of them."""
+    if not docs.num_rows or not found.num_rows:
+        return PASSAGES.empty_table()
+    keys = np.concatenate([keys_of(b, True) for b in found["keys"].to_pylist()])
+    low, many, chunks = (np.concatenate([unpack(b, kind) for b in found[c].to_pylist()]) for c, kind in (("low", np.int64), ("many", np.int32), ("chunks", np.int32)))
+    begin, order = np.cumsum(many) - many, in_order(keys)
+    keys, low, many, begin = keys[order], low[order], many[order], begin[order]
+    words, out = Vocabulary(), {}
+    for ids, numbers, at in in_blocks(docs, words):
+        w = windows(words.hashes()[numbers], window)
+        place = np.flatnonzero(fits(at, window)[: len(w)])
+        row = found_at(keys, w[place])
+        doc = np.searchsorted(at, place, "right") - 1
+        hit = row >= 0
+        hit[hit] = low[row[hit]] == ids[doc[hit]]
+        place, row, doc = place[hit], row[hit], doc[hit]
+        if not len(place):
+            continue
+        n = many[row]
+        target = chunks[np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        place, doc = np.repeat(place, n), np.repeat(doc, n)
+        order = np.lexsort((place, target))
+        target, place, doc = target[order], place[order], doc[order]
+        # windows whose words touch make one passage
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(target) != 0) | (np.diff(doc) != 0) | (np.diff(place) > window))))
+        names, made = list(words), {}
+        for t, i, a, b in zip(target[new].tolist(), ids[doc[new]].tolist(), place[new].tolist(), (np.append(place[new[1:] - 1], place[-1]) + window).tolist(), strict=True):
+            if (a, b) not in made:
+                made[a, b] = b" ".join([names[k] for k in numbers[a:b].tolist()])
+            out.setdefault(t, set()).add((i, made[a, b]))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    rows = [{"chunk": t, "owners": pack(np.array([i for i, _ in some], np.int64)), "texts": squeeze(b"\n".join([x for _, x in some]))} for t, some in ((t, sorted(s)) for t, s in out.items())]
+    return pa.Table.from_pylist(rows, schema=PASSAGES)
 
 
 class Automata:
-    """Aho-Corasick automata of a chunk's recurring phrases, PATTERNS of them in each."""
+    """Aho-Corasick automata of phrases, PATTERNS of them in each, compiled one after the other."""
 
     def __init__(self, patterns: list[np.ndarray], words: int):
-        """patterns: phrases as numbers below `words`."""
-        self.parts = []
-        for i in range(0, len(patterns), PATTERNS):
-            some = np.stack(patterns[i : i + PATTERNS])
+        """patterns: phrases of one length, as numbers below `words`."""
+        self.patterns, self.words = patterns, words
+
+    def hits(self, numbers: np.ndarray, at: np.ndarray, rows: list[int]):
+        """(row, place in its text, pattern) of every occurrence in the texts of these rows."""
+        for first in range(0, len(self.patterns), PATTERNS):
+            some = np.stack(self.patterns[first : first + PATTERNS])
             used = np.unique(some)
-            code = np.full((words, DIGITS), OTHER, "<u4")
+            code = np.full((self.words, DIGITS), OTHER, "<u4")
             code[used] = np.arange(len(used))[:, None] // BASE ** np.arange(DIGITS - 1, -1, -1) % BASE
-            machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in code[some]:
-                machine.add_word(symbols(p))
+            machine, width = ahocorasick.Automaton(ahocorasick.STORE_INTS), some.shape[1]
+            for n, p in enumerate(code[some], first):
+                machine.add_word(symbols(p), n)
             machine.make_automaton()
-            self.parts.append((code, machine))
-
-    def starts(self, words: np.ndarray, width: int) -> np.ndarray:
-        """Where the phrases stand in a document, in words; matches that begin within a word are none."""
-        found: set[int] = set()
-        for code, machine in self.parts:
-            ends = [end + 1 for end, _ in machine.iter(symbols(code[words]))]
-            found.update(end // DIGITS - width for end in ends if end % DIGITS == 0)
-        return np.array(sorted(found), np.int64)
+            for row in rows:
+                for end, n in machine.iter(symbols(code[numbers[at[row] : at[row + 1]]])):
+                    if (end + 1) % DIGITS == 0:  # else it begins within a word
+                        yield row, (end + 1) // DIGITS - width, n
 
 
 def symbols(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le")
 
 
-def covered(starts: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
-    """Which of n places lie within [start - before, start + after] of some start."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(starts - before, 0), 1)
-    np.add.at(edge, np.minimum(starts + after + 1, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def candidates(docs: pa.Table, found: pa.Table, window: int, phrase: int):
-    """(row, words' hashes, starts of windows that hold a recurring phrase), by the automata, for documents that have any."""
-    if not found.num_rows:
-        return
-    known = np.sort(np.concatenate([keys_of(b, False) for b in found["keys"].to_pylist()]))
-    numbers, hashes = numbered(texts_of(docs["text"]))
-    patterns: dict[int, np.ndarray] = {}
-    for own in numbers:  # the phrases' words, from a place where each stands in this chunk
-        p = phrases(hashes[own], phrase)
-        spots = anchors(p, window - phrase + 1)
-        at = np.minimum(np.searchsorted(known, p[spots]), len(known) - 1)
-        for s in spots[known[at] == p[spots]].tolist():
-            patterns.setdefault(int(p[s]), own[s : s + phrase])
-    automata = Automata(list(patterns.values()), len(hashes))
-    for row, own in enumerate(numbers):
-        n = len(own) - window + 1
-        if n > 0 and len(starts := automata.starts(own, phrase)):
-            near = np.flatnonzero(covered(starts, len(own), window - phrase, 0)[:n])
-            if len(near):
-                yield row, hashes[own], near
-
-
-def send_windows(docs: pa.Table, found: pa.Table, shards: int, window: int, phrase: int) -> pa.Table:
-    """A chunk's distinct windows around recurring phrases, with the least and largest doc_id that holds them."""
-    if not docs.num_rows:
-        return SENT.empty_table()
-    ids = ids_of(docs)
-    keys, of = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)]
-    for row, h, near in candidates(docs, found, window, phrase):
-        if ids[row] is not None:
-            keys.append(windows(h, window)[near])
-            of.append(np.full(len(near), ids[row], np.int64))
-    return by_shard(docs["chunk"][0].as_py(), *least(np.concatenate(keys), np.concatenate(of)), shards)
-
-
-def drop(docs: pa.Table, found: pa.Table, window: int, phrase: int) -> pa.Table:
-    """The chunk's documents without the words of windows that a smaller doc_id holds too."""
-    texts, ids = texts_of(docs["text"]), ids_of(docs)
-    gone: dict[int, np.ndarray] = {}
-    if found.num_rows:
-        keys = np.concatenate([keys_of(b, True) for b in found["keys"].to_pylist()])
-        low = np.concatenate([unpack(b, np.int64) for b in found["low"].to_pylist()])
-        smallest = dict(zip(map(bytes, np.ascontiguousarray(keys).view("V16").ravel()), low.tolist(), strict=True))
-        first = np.sort(keys[:, 0])
-        numbers, hashes = numbered(texts)
-        for row, own in enumerate(numbers):
-            if len(own) < window or ids[row] is None:
-                continue
-            h = hashes[own]
-            w = windows(h, window)
-            at = np.minimum(np.searchsorted(first, w[:, 0]), len(first) - 1)
-            hit = np.flatnonzero(first[at] == w[:, 0])
-            raw = np.ascontiguousarray(w[hit]).view("V16").ravel()
-            starts = hit[[smallest.get(bytes(x), NONE) < ids[row] for x in raw]] if len(hit) else hit
-            if len(starts):
-                gone[row] = covered(starts, len(h), 0, window - 1)
+def equal_runs(a: np.ndarray, b: np.ndarray, ahead: int, length: int):
+    """(start, end) in a of each run of `length` or more words that equal those of b, b's first word standing at a[ahead]."""
+    at = max(0, ahead)
+    n = min(len(a) - at, len(b) + ahead - at)
+    edges = np.concatenate(([-1], np.flatnonzero(a[at : at + n] != b[at - ahead : at - ahead + n]), [n]))
+    for i in np.flatnonzero(np.diff(edges) > length).tolist():
+        yield at + int(edges[i]) + 1, at + int(edges[i + 1])
+
+
+def gone_words(docs: pa.Table, sent: pa.Table, window: int, phrase: int) -> dict[int, np.ndarray]:
+    """By row, which words lie in a window that a passage of a smaller document has, as the automata find it."""
+    if not sent.num_rows:
+        return {}
+    unpacked = zstandard.ZstdDecompressor().decompress
+    owners = np.concatenate([unpack(b, np.int64) for b in sent["owners"].to_pylist()]).tolist()
+    words, ids = Vocabulary(), docs["doc_id"].to_pylist()
+    bodies, begins = numbered([t for b in sent["texts"].to_pylist() for t in unpacked(b).split(b"\n")], words)
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    patterns: list[np.ndarray] = []
+    for q, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+        for o in range(0, b - a - phrase + 1, window - phrase + 1):
+            some = bodies[a + o : a + o + phrase]
+            own = places.setdefault(some.tobytes(), [])
+            if not own:
+                patterns.append(some)
+            own.append((q, o))
+    by_number = list(places.values())
+    numbers, at = numbered(texts_of(docs["text"]), words)
+    rows = [r for r in range(docs.num_rows) if ids[r] is not None and at[r + 1] - at[r] >= window]
+    dead: dict[int, np.ndarray] = {}  # by row, windows that a smaller document holds
+    seen: dict[int, set[tuple[int, int]]] = {}
+    for row, x, pattern in Automata(patterns, len(words)).hits(numbers, at, rows):
+        own = numbers[at[row] : at[row + 1]]
+        if row not in dead:
+            dead[row], seen[row] = np.zeros(len(own) - window + 1, bool), set()
+        around = dead[row][max(0, x - window + phrase) : x + 1]
+        for q, o in by_number[pattern]:
+            if around.all():
+                break
+            if owners[q] < ids[row] and (q, x - o) not in seen[row]:
+                seen[row].add((q, x - o))
+                for a, b in equal_runs(own, bodies[begins[q] : begins[q + 1]], x - o, window):
+                    dead[row][a : b - window + 1] = True
+    return {row: covered(np.flatnonzero(d), len(d) + window - 1, 0, window - 1) for row, d in dead.items() if d.any()}
+
+
+def drop(docs: pa.Table, sent: pa.Table, window: int, phrase: int) -> pa.Table:
+    """The chunk's documents without the words that are gone."""
+    gone = gone_words(docs, sent, window, phrase)
     kept, n_words, n_removed = [], [], []
-    for row, text in enumerate(texts):
-        own = text.split()
-        out = gone.get(row)
+    for row, text in enumerate(texts_of(docs["text"])):
+        own, out = text.split(), gone.get(row)
         n_words.append(len(own))
         n_removed.append(0 if out is None else int(out.sum()))
         kept.append(b" ".join(own if out is None else [w for w, x in zip(own, out.tolist(), strict=True) if not x]))
@@ -291,22 +352,25 @@ def drop(docs: pa.Table, found: pa.Table, window: int, phrase: int) -> pa.Table:
 def drop_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """Every document without the passages that an earlier document holds.
 
-    Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256.  Null and
-    empty texts, and those without words, are kept as empty.  A text of fewer words than a window loses
-    nothing.  A document without an id loses nothing and takes nothing from others.  Rows with the same
-    doc_id are one document to others, and each is returned; they take nothing from each other.  Other
-    columns are ignored.  An empty table gives no rows.
+    Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256.  doc_id is of an
+    integer type; others raise TypeError.  Null and empty texts, and those without words, are kept as empty.  A text of
+    fewer words than a window loses nothing.  A document without an id loses nothing and takes nothing from others.
+    Rows with the same doc_id are one document to others, and each is returned; they take nothing from each other.
+    Other columns are ignored.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    chunks, shards = chunk_count(docs, text), parts(spark)
+    integer_id(docs, doc_id)
+    chunks = chunk_count(docs, text)
     id_type = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), chunk_of(doc_id, text, chunks).alias("chunk"))
-    size = {"window": window, "phrase": phrase}
-    anchors_ = keep(own.groupBy("chunk").applyInArrow(named(send_anchors, shards=shards, **size), SENT_ROW))
-    known = anchors_.groupBy("shard").applyInArrow(named(recurring, pairs=False), REPLY)
-    sent = keep(own.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(paired(send_windows, shards=shards, **size), SENT_ROW))
-    confirmed = sent.groupBy("shard").applyInArrow(named(recurring, pairs=True), REPLY)
-    return own.groupBy("chunk").cogroup(confirmed.groupBy("chunk")).applyInArrow(paired(drop, **size), f"doc_id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    size = {"shards": chunks, "window": window, "phrase": phrase}
+    first = keep(own.groupBy("chunk").applyInArrow(named(send_anchors, **size), SENT_ROW))
+    known = first.groupBy("shard").applyInArrow(named(recurring), "chunk int, keys binary")
+    second = keep(own.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(paired(send_windows, **size), SENT_ROW))
+    discard(first)
+    confirmed = second.groupBy("shard").applyInArrow(named(owned), OWNED_ROW)
+    passages = keep(own.groupBy("chunk").cogroup(confirmed.groupBy("chunk")).applyInArrow(paired(send_passages, window=window), PASSAGES_ROW))
+    discard(second)
+    return own.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(paired(drop, window=window, phrase=phrase), f"doc_id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def named(f, **options):
