@@ -6,17 +6,21 @@ one THRESHOLD serves all items.  Postings are in item order and in blocks of BLO
 largest impact of each term.  A passage looks into a block only if the block's maxima for the passage's terms
 reach the threshold, and there it moves by WAND from pivot to pivot; every item at or above the
 threshold is retrieved.  Retrieved pairs are verified: at least OVERLAP of the five-word shingles of the
-question, and of the answer, must stand in the passage.
+question, and of the answer, must stand in the passage.  Where the answer is only the item's last sentence, and may be
+a word or two, question and answer are judged together, and of either half the words must stand there too.
 
-Passages are twice as long as the longest item of the index and start every half of that, so that each place
-where an item may stand lies whole in a passage.  Items go in index parts of at most PART_ITEMS, a bound on what
-is sent to the tasks; each part is a collection of its own and scans the documents once, without a shuffle.
+Passages are twice as long as the longest item and start every half of that, so that each place where an item may
+stand lies whole in a passage.  Numbers of documents per term, of items and mean length are counted once over all
+items.  Items go in index parts of at most PART_ITEMS, a bound on what is sent to the tasks; each part scans the
+documents once, without a shuffle, and what it finds doesn't depend on the division.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import keep, texts_of
 
 BLOCK, PART_ITEMS, THRESHOLD, OVERLAP, WIDTH, LEAST_WORDS = 4, 20_000, 0.6, 0.8, 5, 32
 K1, B = 1.2, 0.75
@@ -54,32 +58,51 @@ def shingles(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))} if words else set()
 
 
+@dataclass
+class Collection:
+    """What BM25 knows of all items: how many there are, their mean and largest length, and in how many a term stands."""
+
+    items: int = 0
+    mean: float = 1.0
+    longest: int = 0
+    df: dict[bytes, int] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, items: list[tuple]) -> Collection:
+        words = [w for w in (sum(question_and_answer(text or b"", answer), []) for _, text, answer in items) if w]
+        df: dict[bytes, int] = {}
+        for ws in words:
+            for w in set(ws):
+                df[w] = df.get(w, 0) + 1
+        return cls(len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=0), df)
+
+
 class Index:
     """Inverted index of one part of the items."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], of: Collection | None = None):
         """items: (item_id, text, answer or None); those without terms are left out."""
+        of = of or Collection.of(items)
         self.items, words = [], []
         for item_id, text, answer in items:
             q, a = question_and_answer(text or b"", answer)
             if q or a:
-                self.items.append((item_id, [shingles(q), shingles(a)]))
+                self.items.append((item_id, [shingles(q), shingles(a)], None if answer is not None else [set(q), set(a)]))
                 words.append(q + a)
         n = len(words)
-        self.longest = max(map(len, words), default=0)
         self.terms: dict[bytes, int] = {}
-        rows = [np.unique(np.fromiter((self.terms.setdefault(w, len(self.terms)) for w in ws), np.int64, len(ws)), return_counts=True) for ws in words]
-        item = np.repeat(np.arange(n), [len(t) for t, _ in rows])
-        term = np.concatenate([t for t, _ in rows]) if n else np.empty(0, np.int64)
-        tf = np.concatenate([c for _, c in rows]).astype(float) if n else np.empty(0)
+        counts = [{w: ws.count(w) for w in sorted(set(ws))} for ws in words]
+        item = np.repeat(np.arange(n), [len(c) for c in counts])
+        term = np.array([self.terms.setdefault(w, len(self.terms)) for c in counts for w in c], np.int64)
+        tf = np.array([k for c in counts for k in c.values()], float)
         length = np.array([len(w) for w in words], float)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean())) if n else tf
+        df = np.array([of.df[w] for w in self.terms], float)
+        idf = np.log1p((of.items - df + 0.5) / (df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / of.mean))
         impact = weight / np.bincount(item, weight, n)[item] if n else weight
         order = np.lexsort((item, term))
         self.item, self.impact = item[order], impact[order]
-        self.start = np.concatenate(([0], np.cumsum(df)))
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(self.terms)))))
         # the largest impact of each term in each block of items
         block, term = self.item // BLOCK, term[order]
         new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])))) if n else np.empty(0, np.int64)
@@ -89,7 +112,7 @@ class Index:
         self.block_start = np.concatenate(([0], np.cumsum(np.bincount(term[new], minlength=len(self.terms)))))
         self.cell = term[new] * self.blocks + self.block
         self.term_max = np.maximum.reduceat(self.impact, self.start[:-1]) if n else np.empty(0)
-        self.passage = max(LEAST_WORDS, 2 * self.longest)
+        self.passage = max(LEAST_WORDS, 2 * of.longest)
 
     def candidates(self, ids: np.ndarray, passage: np.ndarray, passages: int, threshold: float):
         """(passage, block, rows of the block table) where the maxima reach the threshold; ids and passage: distinct pairs, by passage.
@@ -134,12 +157,13 @@ class Index:
                 return
             pivot = lists[k][0][lists[k][2]]
             if lists[0][0][lists[0][2]] == pivot:
-                score = 0.0
+                impacts = []
                 for x in lists:
                     if x[0][x[2]] != pivot:
                         break
-                    score += x[1][x[2]]
+                    impacts.append(x[1][x[2]])
                     x[2] += 1
+                score = math.fsum(impacts)  # the same in whatever order they come
                 if score >= threshold - 1e-9:
                     yield pivot, score
             else:
@@ -149,11 +173,16 @@ class Index:
 
     def verified(self, item: int, words: list[bytes], overlap: float) -> tuple[float, float] | None:
         """Shares of the question's and the answer's shingles in a passage, if both are enough."""
-        sets = self.items[item][1]
+        _, sets, guessed = self.items[item]
         widths = {len(next(iter(s)).split()) for s in sets if s}
         own = {b" ".join(words[i : i + w]) for w in widths for i in range(len(words) - w + 1)}
         shares = [len(s & own) / len(s) if s else 1.0 for s in sets]
-        return (shares[0], shares[1]) if min(shares) >= overlap else None
+        if guessed is None:
+            enough = min(shares) >= overlap
+        else:
+            here = set(words)
+            enough = sum(len(s & own) for s in sets) >= overlap * sum(map(len, sets)) and all(2 * len(g & here) >= len(g) for g in guessed)
+        return (shares[0], shares[1]) if enough else None
 
     def find(self, texts: list[bytes], threshold: float, overlap: float):
         """(text, item, first word of the passage, score, question overlap, answer overlap): each pair of text and item once, at its best passage."""
@@ -183,15 +212,32 @@ class Index:
             yield t, item, first, score, q, a
 
 
+def counted(batches):
+    """(item, length, term) of each distinct term of each item; an item without terms gives nothing."""
+    for x in batches:
+        rows = []
+        for n, (text, answer) in enumerate(zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)):
+            words = sum(question_and_answer(text or b"", answer), [])
+            rows += [(n, len(words) if i == 0 else None, w) for i, w in enumerate(sorted(set(words)))]
+        part, length, term = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(part, pa.int64())), pa.array(length, pa.int64()), pa.array(term, pa.binary())], ["part", "length", "term"])
+
+
 def parts_of(items: DataFrame, item_id: str, text: str, answer: str | None, part_items: int):
-    """Broadcast indexes of at most part_items items each, in order of a hash of the item."""
+    """Broadcast indexes of at most part_items items each, nearly, in order of a hash of the item."""
     rows = items.select(F.col(item_id).alias("item"), F.col(text).cast("binary").alias("text"), (F.col(answer) if answer else F.lit(None)).cast("binary").alias("answer"))
-    n = -(-rows.count() // (part_items * 3 // 4)) or 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    n = -(-rows.count() // max(1, part_items * 3 // 4)) or 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    terms = df = None
+    if n > 1:  # else the one part is the collection
+        terms = keep(rows.select("part", "text", "answer").mapInArrow(counted, "part long, length long, term binary"))
+        total, mean, longest = terms.agg(F.count("length"), F.avg("length"), F.max("length")).first()
+        df = keep(terms.groupBy("term").agg(F.count("*").alias("n")))
     for i in range(n):
-        own = [(r["item"], bytes(r["text"] or b""), bytes(r["answer"]) if r["answer"] is not None else None) for r in (rows.where(part == i) if n > 1 else rows).collect()]
+        own = [(r["item"], bytes(r["text"] or b""), bytes(r["answer"]) if r["answer"] is not None else None) for r in rows.where(F.col("part") == i).collect()]
         own.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield items.sparkSession.sparkContext.broadcast(Index(own))
+        of = Collection(total, mean or 1.0, longest or 0, {bytes(r["term"]): r["n"] for r in df.join(terms.where(F.col("part") == i).select("term").distinct(), "term").collect()}) if n > 1 else None
+        yield items.sparkSession.sparkContext.broadcast(Index(own, of))
 
 
 def in_batches(texts: list[bytes]):
