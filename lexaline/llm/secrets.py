@@ -2,8 +2,9 @@
 
 Each text is scanned for candidates: the base kinds assign, access and hex, and the added kinds below,
 whose shapes are those of real issuers' credentials.  Candidates are hashed and counted over the corpus:
-distinct repositories and distinct owners that hold each value.  A value that COPIED or more owners hold
-is a widely copied example; one with fewer owners is live-looking if it is random enough, else weak.
+distinct repositories and distinct owners that hold each value.  A value that COPIED or more owners hold, or SPREAD or
+more repositories whoever owns them, is a widely copied example; any other is live-looking if it is random enough,
+else weak.  A credential that an owner reuses stands in some repositories, a pasted example in very many.
 Base spans always stay; spans of added kinds stay if they are live-looking.
 
 Only (value hash, repository, owner) goes through the shuffle, each once per task; a value that stands in
@@ -44,7 +45,7 @@ ADDED = {
 #: A text without these, in lower case, has no match of the kind.
 HINTS = {"private": (b"private key-----",), "jwt": (b"eyj",), "github": (b"gho_", b"ghp_", b"ghs_", b"ghu_"), "slack": (b"xox",), "stripe": (b"k_live_",), "google": (b"aiza",), "url": (b"://",)}
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
-COPIED, RANDOM = 3, 3.0
+COPIED, SPREAD, RANDOM = 3, 50, 3.0
 KINDS = (*BASE, *ADDED)
 HEX = np.zeros(256, bool)
 HEX[[*range(48, 58), *range(97, 103)]] = True
@@ -114,12 +115,13 @@ def report(batches):
             n = Counter(s["kind"] for s in base)
             every = [s for s in spans if s["kind"] in BASE or s["verdict"] == "live"]
             verdicts = Counter(s["verdict"] for s in every)
-            out.append((n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), verdicts["live"], verdicts["copied"], verdicts["weak"]))
-        kinds = (*[pa.int64()] * 3, pa.string(), pa.string(), *[pa.int64()] * 3)
-        yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True))], ["doc_id", *COLUMNS])
+            most = [max((s[c] for s in spans), default=0) for c in ("repos", "owners")]
+            out.append((n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), verdicts["live"], verdicts["copied"], verdicts["weak"], *most))
+        kinds = (*[pa.int64()] * 3, pa.string(), pa.string(), *[pa.int64()] * 5)
+        yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True))], ["doc_id", *COLUMNS])
 
 
-COLUMNS = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied", "n_weak"]
+COLUMNS = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied", "n_weak", "most_repos", "most_owners"]
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -128,10 +130,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return each.groupBy("value").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
 
 
-def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", copied: int = COPIED) -> DataFrame:
+def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", copied: int = COPIED, spread: int = SPREAD) -> DataFrame:
     """Candidates of every document, told apart by who else holds them.
 
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_weak.  Offsets are code
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_weak, and most_repos and
+    most_owners, by how many repositories and owners the document's most widely held value is held.  Offsets are code
     points, ends exclusive.  A null or empty text has none: zero counts, no spans, the hash of an empty
     string.  A null repository or owner is nobody: it isn't counted, so a value held only by such has no
     owners and is no copy.  Rows that share a doc_id each have their own report.  Other columns are ignored.
@@ -141,7 +144,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"))
     scanned = keep(own.mapInArrow(candidates, f"row long, doc_id {id_type}, repo string, owner string, found array<struct<start:long,end:long,kind:string,value:long,random:boolean>>"))
     found = scanned.select("row", "repo", "owner", F.explode("found").alias("span")).select("*", F.col("span.value").alias("value"))
-    verdict = F.when(F.col("owners") >= copied, "copied").when(F.col("span.random"), "live").otherwise("weak")
-    told = found.join(ownership(found), "value").select("row", F.struct("span.start", "span.end", "span.kind", verdict.alias("verdict")).alias("span"))
+    verdict = F.when((F.col("owners") >= copied) | (F.col("repos") >= spread), "copied").when(F.col("span.random"), "live").otherwise("weak")
+    told = found.join(ownership(found), "value").select("row", F.struct("span.start", "span.end", "span.kind", verdict.alias("verdict"), "repos", "owners").alias("span"))
     spans = told.groupBy("row").agg(F.collect_list("span").alias("found"))
-    return scanned.select("row", "doc_id").join(spans, "row", "left").select("doc_id", "found").mapInArrow(report, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long, n_weak long")
+    return scanned.select("row", "doc_id").join(spans, "row", "left").select("doc_id", "found").mapInArrow(report, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long, n_weak long, most_repos long, most_owners long")
