@@ -7,12 +7,16 @@ The index can be taken back: documents come in with insert() and go out with del
 decisions are always those of the documents then in it.  Its state, in the shared folder:
 
 * postings, by chunk of documents: the (key, doc_id) pairs of that chunk.
-* references, by shard of keys: (key, chunk, documents that hold it, largest doc_id of them), exact.
-* filters, by shard: a cuckoo filter of the keys that the references hold.  A key that the filter denies
-  is new and goes straight to the end of the table; only the others are looked up.
+* references, by shard of keys: (key, chunk, documents that hold it, largest doc_id of them), exact, in one or more segments.
+* filters, by shard: a cuckoo filter of the keys that the references hold.
 
-A key that a third of all documents hold is one row per chunk in its shard.  Each update writes a new
-generation beside the old one, so a failed update leaves the index as it was.
+An update asks the filters first.  Keys that a shard's filter denies are new: they are written as one more segment, and
+the shard's references are neither read nor written.  Only shards where the filter admits some key, or has no room,
+are looked up in their exact table and written anew, and only chunks with documents of the update get new postings.
+Filters are small: two bytes for a key, beside about 24 in its references.
+
+A key that a third of all documents hold is one row per chunk in its shard.  Each update writes new files beside
+the old ones, so a failed update leaves the index as it was; every COMPACT updates all is written together.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, chunk_of, keep, pack, parts, texts_of, unpack, work_dir
+from .common import chunk_count, chunk_of, integer_id, keep, pack, texts_of, unpack, work_dir
 from .cuckoo import CuckooFilter
 
-MIN_CHARS, MIN_DOCS = 20, 3
+MIN_CHARS, MIN_DOCS, COMPACT = 20, 3, 8
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 KEY = np.dtype([("high", "<u8"), ("low", "<u8")])
 REF = np.dtype([("high", "<u8"), ("low", "<u8"), ("chunk", "<i4"), ("docs", "<i4"), ("last", "<i8")])
@@ -128,37 +132,51 @@ def change(docs: pa.Table, old: pa.Table, shards: int, min_chars: int, remove: b
     return pa.Table.from_pylist(rows, schema=pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("kind", pa.string()), ("rows", pa.binary())]))
 
 
-def update(new: pa.Table, old: pa.Table) -> pa.Table:
-    """A shard's filter and exact table after a change."""
-    shard = (new if new.num_rows else old)["shard"][0].as_py()
-    table = array(old["rows"][0].as_py() if old.num_rows else None, REF)
-    held = CuckooFilter.from_bytes(old["filter"][0].as_py()) if old.num_rows else CuckooFilter.of(np.empty(0, np.uint64))
-    fresh = np.concatenate([np.empty(0, REF), *(array(b, REF) for b in new["rows"].to_pylist())])
-    maybe = held.contains(fresh["low"])
-    known = fresh[maybe]
-    if len(known):  # exact: replaced by (key, chunk)
-        name = np.dtype([("high", "<u8"), ("low", "<u8"), ("chunk", "<i4")])
-        ids = lambda a: np.ascontiguousarray(a[["high", "low", "chunk"]]).astype(name)
-        before = np.unique(table["low"])
-        table = table[~np.isin(ids(table), ids(known))]
-        table = np.concatenate((table, known[known["docs"] > 0]))
-        dead = np.setdiff1d(before, table["low"])
-        held.delete(dead)
-        added = np.setdiff1d(known["low"][known["docs"] > 0], before)
-    else:
-        added = np.empty(0, np.uint64)
-    new_rows = fresh[~maybe & (fresh["docs"] > 0)]
-    table = np.concatenate((table, new_rows))
-    added = np.union1d(added, new_rows["low"])
-    if held.buckets * 4 * 0.85 < len(np.unique(table["low"])) or not held.insert(added):
+TOLD = pa.schema([("shard", pa.int64()), ("filter", pa.binary()), ("fresh", pa.binary()), ("known", pa.binary()), ("look", pa.bool_())])
+TOLD_ROW = "shard long, filter binary, fresh binary, known binary, look boolean"
+
+
+def ask(new: pa.Table, old: pa.Table) -> pa.Table:
+    """A shard's changed references, told apart by its filter: those of new keys, which the filter then has, and those to be looked up."""
+    if not new.num_rows:
+        return TOLD.empty_table()
+    rows = np.concatenate([np.empty(0, REF), *(array(b, REF) for b in new["rows"].to_pylist())])
+    held = CuckooFilter.from_bytes(old["filter"][0].as_py()) if old.num_rows else None
+    maybe = held.contains(rows["low"]) if held else np.zeros(len(rows), bool)
+    fresh, known = rows[~maybe & (rows["docs"] > 0)], rows[maybe]
+    keys = np.unique(fresh["low"])
+    if held is None:
+        held = CuckooFilter.of(keys)
+    elif not held.insert(keys):
+        held = None
+    one = {"shard": new["shard"][0].as_py(), "filter": held.to_bytes() if held else None, "fresh": blob(fresh), "known": blob(known), "look": held is None or len(known) > 0}
+    return pa.Table.from_pylist([one], schema=TOLD)
+
+
+def revise(told: pa.Table, old: pa.Table) -> pa.Table:
+    """A shard's filter and exact table after a change that needs the table."""
+    if not told.num_rows:
+        return pa.table({"shard": pa.array([], pa.int64()), "filter": pa.array([], pa.binary()), "rows": pa.array([], pa.binary())})
+    one = told.to_pylist()[0]
+    table = np.concatenate([np.empty(0, REF), *(array(b, REF) for b in old["rows"].to_pylist())])
+    fresh, known = array(one["fresh"], REF), array(one["known"], REF)
+    before = np.unique(table["low"])
+    name = np.dtype([("high", "<u8"), ("low", "<u8"), ("chunk", "<i4")])
+    ids = lambda a: np.ascontiguousarray(a[["high", "low", "chunk"]]).astype(name)
+    table = np.concatenate((table[~np.isin(ids(table), ids(known))], known[known["docs"] > 0]))
+    held = CuckooFilter.from_bytes(one["filter"]) if one["filter"] is not None else None
+    if held:
+        held.delete(np.setdiff1d(before, table["low"]))
+    table = np.concatenate((table, fresh))
+    if held is None or not held.insert(np.setdiff1d(np.setdiff1d(known["low"][known["docs"] > 0], before), fresh["low"])):
         held = CuckooFilter.of(np.unique(table["low"]))
-    table = table[np.lexsort((table["chunk"], table["low"], table["high"]))]
-    return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([held.to_bytes()], pa.binary()), "rows": pa.array([blob(table)], pa.binary())})
+    return pa.table({"shard": pa.array([one["shard"]], pa.int64()), "filter": pa.array([held.to_bytes()], pa.binary()), "rows": pa.array([blob(table)], pa.binary())})
 
 
 def decide(table: pa.Table, min_docs: int) -> pa.Table:
     """For each chunk the keys that lose lines in it, with the doc_id that keeps them."""
-    refs = array(table["rows"][0].as_py(), REF)
+    refs = np.concatenate([np.empty(0, REF), *(array(b, REF) for b in table["rows"].to_pylist())])
+    refs = refs[np.lexsort((refs["low"], refs["high"]))]
     if not len(refs):
         return pa.table({"chunk": pa.array([], pa.int32()), "rows": pa.array([], pa.binary())})
     fresh = np.concatenate(([True], (refs["high"][1:] != refs["high"][:-1]) | (refs["low"][1:] != refs["low"][:-1])))
@@ -208,8 +226,16 @@ class LineIndex:
     def __init__(self, spark, chunks: int, shards: int, folder: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         self.spark, self.chunks, self.shards, self.min_chars, self.min_docs = spark, chunks, shards, min_chars, min_docs
         self.folder, self.generation = folder or work_dir(spark), 0
-        self.postings = spark.createDataFrame([], CHANGE)
-        self.references = spark.createDataFrame([], "shard long, filter binary, rows binary")
+        self.postings = spark.createDataFrame([], "chunk int, rows binary")
+        self.references = spark.createDataFrame([], "shard long, rows binary")
+        self.filters = spark.createDataFrame([], "shard long, filter binary")
+        self.looked_up = 0  # shards whose exact table the last update read
+
+    @classmethod
+    def for_table(cls, docs: DataFrame, text: str, min_chars: int, min_docs: int) -> LineIndex:
+        """An empty index with as many chunks and shards as the documents' size asks for."""
+        n = chunk_count(docs, text)
+        return cls(docs.sparkSession, n, n, min_chars=min_chars, min_docs=min_docs)
 
     def _chunked(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id"), F.col("text"), chunk_of("doc_id", "text", self.chunks).alias("chunk"))
@@ -219,10 +245,28 @@ class LineIndex:
         make = partial(change, shards=self.shards, min_chars=self.min_chars, remove=remove)
         self.generation += 1
         at = f"{self.folder}/{self.generation}"
-        changed = keep(own.groupBy("chunk").cogroup(self.postings.groupBy("chunk")).applyInArrow(lambda a, b: make(a, b), CHANGE), f"{at}/postings")
-        self.postings = changed.where("kind = 'postings'")
-        new = changed.where("kind = 'references'")
-        self.references = keep(new.groupBy("shard").cogroup(self.references.groupBy("shard")).applyInArrow(update, "shard long, filter binary, rows binary"), f"{at}/references")
+        old = self.postings.join(own.select("chunk").distinct(), "chunk", "left_semi") if self.generation > 1 else self.postings
+        changed = keep(own.groupBy("chunk").cogroup(old.groupBy("chunk")).applyInArrow(lambda a, b: make(a, b), CHANGE), f"{at}/changes")
+        postings = changed.where("kind = 'postings'").select("chunk", "rows")
+        told = keep(changed.where("kind = 'references'").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(ask, TOLD_ROW), f"{at}/told")
+        look, plain = told.where("look"), told.where("not look")
+        new = [(plain.select("shard", F.col("fresh").alias("rows")), plain.select("shard", "filter"))]
+        self.looked_up = look.count()
+        references = self.references
+        if self.looked_up:
+            of = references.join(look.select("shard"), "shard", "left_semi")
+            revised = keep(look.groupBy("shard").cogroup(of.groupBy("shard")).applyInArrow(revise, "shard long, filter binary, rows binary"), f"{at}/revised")
+            references = references.join(look.select("shard"), "shard", "left_anti")
+            new.append((revised.select("shard", "rows"), revised.select("shard", "filter")))
+        first = self.generation == 1
+        self.filters = None if first else self.filters.join(told.select("shard"), "shard", "left_anti")
+        self.postings = postings if first else self.postings.join(postings.select("chunk"), "chunk", "left_anti").unionByName(postings)
+        self.references = None if first else references
+        for rows, filters in new:
+            self.references = rows if self.references is None else self.references.unionByName(rows)
+            self.filters = filters if self.filters is None else self.filters.unionByName(filters)
+        if self.generation % COMPACT == 0:
+            self.postings, self.references, self.filters = (keep(x, f"{at}/{n}") for x, n in ((self.postings, "postings"), (self.references, "references"), (self.filters, "filters")))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents; one whose doc_id is already in takes the place of the former."""
@@ -252,8 +296,9 @@ def dedup_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 
     A null text stays null; the column `length`, if there is one, gets the code points that are left.
     """
+    integer_id(docs, doc_id)
     length = length if length in docs.columns else None
-    index = LineIndex(docs.sparkSession, chunk_count(docs, text), parts(docs.sparkSession), min_chars=min_chars, min_docs=min_docs)
+    index = LineIndex.for_table(docs, text, min_chars, min_docs)
     index.insert(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     # the operator's own columns go beside the table's, whose names stay as they are
     names = docs.columns
@@ -271,10 +316,12 @@ def partial_of(f, value):
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Every document without the lines that other documents keep.
 
-    Returns doc_id, n_lines, n_dropped, kept_text, kept_sha256.  A null or empty text is one empty line.
+    Returns doc_id, n_lines, n_dropped, kept_text, kept_sha256.  doc_id is of an integer type; others raise TypeError.  A
+    null or empty text is one empty line.
     A null doc_id is not counted among a key's documents and loses no line.  Rows with the same doc_id count
     as one document, and each is returned.  Other columns are ignored.  An empty table gives no rows.
     """
+    integer_id(docs, doc_id)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    index = LineIndex(docs.sparkSession, chunk_count(docs, text), parts(docs.sparkSession), min_chars=min_chars, min_docs=min_docs)
+    index = LineIndex.for_table(docs, text, min_chars, min_docs)
     return index.insert(own).apply(own)
