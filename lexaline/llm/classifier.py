@@ -2,8 +2,8 @@
 
 Each text gives a row of statistics.  They are standardised over all documents, and FEATURES random cosines
 of them approximate a Gaussian kernel of width WIDTH.  Every task adds up the normal equations of its
-labelled rows, a matrix whose size does not depend on the rows; the tasks' matrices are summed in SLOTS
-groups and the ridge solution is found on the driver.  Calibration is by pool-adjacent-violators over BINS
+labelled rows, a matrix whose size does not depend on the rows; the tasks' matrices are summed SLOTS at a time, level
+by level, until so few are left, and the ridge solution is found on the driver.  Calibration is by pool-adjacent-violators over BINS
 bins of the ridge score, counted over labelled rows that the ridge did not see.
 
 Folds are crc32(doc_id as text) mod 5: 0 is held out and never learnt from, 1 calibrates, 2 to 4 train.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, pack, texts_of, unpack
 
-FEATURES, WIDTH, RIDGE, SEED, SLOTS, BINS, CUT = 256, 6.0, 1.0, 7, 8, 1024, 0.3
+FEATURES, WIDTH, RIDGE, SEED, SLOTS, BINS, CUT = 256, 6.0, 1.0, 7, 32, 1024, 0.3
 STATS = ("log_words", "mean_word", "symbols", "upper", "digits", "bangs", "bars", "stops", "distinct_words", "distinct_pairs", "top_word", "repeated_lines", "line_words", "entropy", "long_words", "short_words", "ended", "letters", "high_bytes", "log_lines", "spaces", "capital_words")
 
 
@@ -84,14 +84,26 @@ def equations(kernel: Kernel):
             if x.num_rows:
                 z, y = kernel(matrix(x.column(0))), x.column(1).to_numpy(zero_copy_only=False).astype(float)
                 total += z.T @ np.column_stack((z, y))
-                slot = int(x.column(2)[0].as_py())
+                slot = x.column(2)[0].as_py()
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([pack(total.ravel())], pa.binary())], ["slot", "sums"])
 
     return run
 
 
 def added(table: pa.Table) -> pa.Table:
-    return pa.table({"sums": pa.array([pack(sum(unpack(b, float) for b in table["sums"].to_pylist()))], pa.binary())})
+    total = 0.0
+    for b in table["sums"]:
+        total = total + unpack(b.as_py(), float)
+    return pa.table({"slot": table["slot"][:1], "sums": pa.array([pack(total)], pa.binary())})
+
+
+def summed(sums: DataFrame, slots: int = SLOTS) -> list[bytes]:
+    """At most `slots` matrices that add up to all of them: no task adds more, however many tasks there were."""
+    tasks = sums.agg(F.count("*")).first()[0]
+    while tasks > slots:
+        tasks = -(-tasks // slots)
+        sums = keep(sums.withColumn("slot", F.pmod("slot", F.lit(tasks)).cast("int")).groupBy("slot").applyInArrow(added, "slot int, sums binary"))
+    return [bytes(r["sums"]) for r in sums.select("sums").collect()]
 
 
 def isotonic(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -153,11 +165,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     moments = np.array([v or 0.0 for v in sums])
     kernel = Kernel(moments[: len(STATS)], moments[len(STATS) :])
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    learnt = keep(rows.where("fold > 0").join(marks, "doc_id").select("x", "y", "fold", (F.spark_partition_id() % SLOTS).alias("slot")))
-    parts = learnt.where("fold > 1").select("x", "y", "slot").mapInArrow(equations(kernel), "slot int, sums binary").groupBy("slot").applyInArrow(added, "sums binary").collect()
+    learnt = keep(rows.where("fold > 0").join(marks, "doc_id").select("x", "y", "fold"))
+    each = learnt.where("fold > 1").select("x", "y", F.spark_partition_id().alias("slot"))
+    parts = summed(keep(each.mapInArrow(equations(kernel), "slot int, sums binary")))
     beta = np.zeros(len(kernel.b) + 1)
     if parts:
-        total = sum(unpack(bytes(p["sums"]), float) for p in parts).reshape(len(beta), -1)
+        total = sum(unpack(p, float) for p in parts).reshape(len(beta), -1)
         beta = np.linalg.solve(total[:, :-1] + RIDGE * np.eye(len(beta)), total[:, -1])
     n, ones = np.zeros(BINS), np.zeros(BINS)
     for r in learnt.where("fold = 1").select("x", "y").mapInArrow(binned(kernel, beta), "bin long, n long, ones long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect():
