@@ -8,7 +8,8 @@ a rare n-gram says little: it must not count against a document that nobody has
 few words, or too many words in repeated three-word windows.
 
 One pass counts (a row per bucket, partly summed in each task), one pass scores.  Only the table of
-BUCKETS ratios goes to every task, and its size does not depend on the corpus.
+BUCKETS ratios goes to every task, and its size does not depend on the corpus; a larger one, a power of two, is a
+parameter for corpora whose vocabulary is larger.
 """
 
 from __future__ import annotations
@@ -41,25 +42,29 @@ class Hashes(dict):
         return h
 
 
-def grams(words: list[bytes], hashes: Hashes) -> np.ndarray:
-    """Buckets of a text's words and pairs of neighbouring words."""
+def grams(words: list[bytes], hashes: Hashes, buckets: int = BUCKETS) -> np.ndarray:
+    """Buckets, a power of two of them, of a text's words and pairs of neighbouring words."""
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     every = np.concatenate((h * np.uint64(0xD6E8FEB86659FD93), pairs * np.uint64(0xFF51AFD7ED558CCD)))
-    return (every >> np.uint64(48)).astype(np.int64)
+    return (every >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
-def count(batches):
+def count(buckets: int):
     """Counts of buckets in a task's texts, of all and of the trusted ones."""
-    raw, trusted, hashes = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), Hashes()
-    for x in batches:
-        for text, is_trusted in zip(texts_of(x.column(0)), x.column(1).to_pylist(), strict=True):
-            n = np.bincount(grams(text.split(), hashes), minlength=BUCKETS) if text else 0
-            raw += n
-            if is_trusted:
-                trusted += n
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], ["bucket", "raw", "trusted"])
+
+    def run(batches):
+        raw, trusted, hashes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), Hashes()
+        for x in batches:
+            for text, is_trusted in zip(texts_of(x.column(0)), x.column(1).to_pylist(), strict=True):
+                at, n = np.unique(grams(text.split(), hashes, buckets), return_counts=True)
+                raw[at] += n
+                if is_trusted:
+                    trusted[at] += n
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], ["bucket", "raw", "trusted"])
+
+    return run
 
 
 def repeated(words: list[bytes]) -> int:
@@ -100,7 +105,7 @@ def judge(ratios, threshold: float):
             for text in texts_of(x.column(1)):
                 words, chars, symbols, lines, again = measures(text)
                 n = len(words)
-                ratio = float(table[grams(words, hashes)].sum() / (2 * n - 1)) if n else 0.0
+                ratio = float(table[grams(words, hashes, len(table))].sum() / (2 * n - 1)) if n else 0.0
                 failed = n < MIN_WORDS or 100 * again > MAX_REPEATED * n
                 rows.append((n, chars, symbols, lines, again, failed, not failed and ratio >= threshold, ratio))
             own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(KINDS), KINDS, strict=True)]
@@ -113,7 +118,7 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 KINDS = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """log(trusted share / raw share) of each bucket; all zero where one of the two has no words.
 
     trusted has the ids of trusted documents in its first column; nulls and repeats there do no harm.
@@ -121,17 +126,17 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(True)).hint("merge")
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    rows = own.mapInArrow(count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rows = own.mapInArrow(count(buckets), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
+    raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"].to_numpy()] = rows["raw"].to_numpy()
     good[rows["bucket"].to_numpy()] = rows["trusted"].to_numpy()
     if not raw.sum() or not good.sum():
-        return np.zeros(BUCKETS)
+        return np.zeros(buckets)
     expected = raw * (good.sum() / raw.sum())
     return np.log((good + SMOOTHING) / (expected + SMOOTHING))
 
 
-def judge_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def judge_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Measures, base rules and the ratio's verdict for every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
@@ -139,7 +144,7 @@ def judge_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", tex
     Repeated rows are each counted and each judged.  Without trusted words the ratio is 0, and the base
     rules alone decide.  A ratio equal to the threshold is kept.  An empty table gives no rows.
     """
-    ratios = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, trusted, doc_id, text))
+    ratios = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, trusted, doc_id, text, buckets))
     id_type = docs.schema[doc_id].dataType.simpleString()
     out = f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge(ratios, threshold), out)
@@ -155,7 +160,7 @@ def passing(ratios, column: int, threshold: float):
     return run
 
 
-def keep_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The documents, with all their columns, that judge_texts() keeps."""
-    ratios = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, trusted, doc_id, text))
+    ratios = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, trusted, doc_id, text, buckets))
     return docs.mapInArrow(passing(ratios, docs.columns.index(text), threshold), docs.schema)
