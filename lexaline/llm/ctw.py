@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, chunk_of, held, keep, merged, pack, parts, texts_of, unpack
+from .common import chunk_count, chunk_of, held, keep, merged, pack, texts_of, unpack
 
 DEPTH, TOP, END, BLOCK = 5, 2, b"\n", 4 << 20
 LN10, PAD = float(np.log(10)), b"\n" * 5
@@ -315,7 +315,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     are scored once each.  An empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    chunks, shards = chunk_count(docs, text), parts(spark)
+    chunks = shards = chunk_count(docs, text)
     id_type = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held(doc_id, held_remainder).alias("held_out"), chunk_of(doc_id, text, chunks).alias("chunk"))
     ends = own.where(~F.col("held_out")).count()
