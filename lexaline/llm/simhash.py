@@ -14,12 +14,17 @@ indexed once more, by the bits outside its segment cut in the same way; with two
 what meets then agrees on all but 18 bits, so no group exceeds 2**18, whatever the corpus.
 
 one_of_each() goes by the similarity of the shingle sets, for which one fingerprint is too coarse: at 0.8 two of them
-differ in about 10 bits.  Its candidates share one of BANDS keys, each made of ROWS least hashes of the set under
-different turns.  Two sets of similarity s share one but for a chance of (1 - s**ROWS)**BANDS, at 0.8 7e-10.
+differ in about 10 bits.  Its candidates are those of prefix filtering, which misses none: put all shingles in one order,
+and two sets of similarity s share one of the first n - ceil(s n) + 1 of either (Chaudhuri, Ganti, Kaushik: A primitive
+operator for similarity joins, 2006).  The order has frequent shingles last, so that texts do not meet for a passage
+that very many hold.  Which are frequent is counted in each task and summed; at most FREQUENT of them are told apart,
+by powers of two, and any order whatever gives the same answer.  Candidates are told apart by bitmaps first, in which
+each shingle turns one bit: two sets differ in as many shingles at least as their bitmaps in bits.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,11 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, keep, parts, texts_of
+from .common import Vocabulary, components, discard, forest, keep, mixed, numbered, parts, rolled, texts_of
 
 SHINGLE, BITS, SEED, FEW, HOT = 3, 2, 42, 256, 1 << 14
-LEADS, ROWS, BANDS = 4, 4, 40
-FLUSH = 1 << 21
+LEADS, HELD, FREQUENT, BLOCK = 4, 32, 1 << 20, 4 << 20
 
 
 def text_hashes(text: bytes, width: int) -> list[int]:
@@ -229,58 +233,120 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return own.join(answer, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def sketch(hashes: list[int], size: int | None = None) -> np.ndarray:
-    """The least `size` distinct hashes; all of them if there are fewer or no size is given."""
-    return np.unique(np.array(hashes, np.uint64))[:size]
+def shingle_sets(texts: list[bytes], width: int):
+    """(first text, sets) for about BLOCK bytes of texts at a time: each text's distinct shingles as hashes, in order.
+
+    Words are A-Z lower-cased; a text of fewer words has one shingle of all of them, one without words has none.
+    """
+    words, first, size = Vocabulary(), 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= BLOCK or i == len(texts) - 1:
+            numbers, at = numbered([x.lower() for x in texts[first : i + 1]], words)
+            h = words.hashes()[numbers]
+            every, at = mixed(rolled(h, width, 0x9E3779B97F4A7C15)), at.tolist()
+            yield first, [np.unique(every[a : b - width + 1]) if b - a >= width else mixed(rolled(h[a:b], b - a, 0xD6E8FEB86659FD93)) if b > a else every[:0] for a, b in zip(at, at[1:], strict=False)]
+            first, size = i + 1, 0
+            if len(words) > 1 << 20:
+                words = Vocabulary()
 
 
 def whole_sets(width: int):
     def run(batches):
         for x in batches:
-            own = [sketch(text_hashes(t, width)).tobytes() for t in texts_of(x.column(1))]
+            own = [s.tobytes() for _, sets in shingle_sets(texts_of(x.column(1)), width) for s in sets]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(own, pa.binary())], ["doc_id", "hashes"])
 
     return run
 
 
-def alike(a: bytes, b: bytes, size: int | None = None) -> float:
-    """Jaccard similarity of two shingle sets from their least hashes; exact for sets that a sketch holds whole."""
+def alike(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of hashes in order; empty ones are alike."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.union1d(x, y)[:size]
-    return len(np.intersect1d(np.intersect1d(x, both), y)) / len(both) if len(both) else 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def number(*at: int) -> int:
-    return xxhash.xxh64_intdigest(repr(at), SEED)
+def repeated(width: int):
+    """(key, n) of the shingles that come in two or more texts of the same block, as a number of texts."""
 
+    def run(batches):
+        for x in batches:
+            for _, sets in shingle_sets(texts_of(x.column(0)), width):
+                key, n = np.unique(np.concatenate(sets), return_counts=True)
+                some = n > 1
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["key", "n"])
 
-TURNS = np.array([number(i) | 1 for i in range(BANDS * ROWS)], np.uint64).astype(np.uint32)
-MIX = np.array([[number(i, j) | 1 for j in range(ROWS)] for i in range(BANDS)], np.uint64)
-PLACE = np.array([number(i, i, i) for i in range(BANDS)], np.uint64)
+    return run
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set of hashes, one for each band."""
-    h, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(TURNS), (1 << 32) - 1, np.uint32)
-    for i in range(0, len(h), 2048):
-        np.minimum(least, (TURNS[:, None] * h[i : i + 2048]).min(1), out=least)
-    return (least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) + PLACE
+def frequent(texts: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that HELD or more texts seem to have, in order, and the power of two of their number: at most `most`, the most frequent."""
+    power = F.floor(F.log2("n")).cast("int").alias("power")
+    counts = texts.select("text").mapInArrow(repeated(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = keep(counts.where(F.col("n") >= HELD).select("key", power))
+    least, total = 64, 0
+    for r in sorted(counts.groupBy("power").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["power"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["power"]
+    rows = counts.where(F.col("power") >= least).toArrow()
+    keys, powers = rows["key"].to_numpy().view(np.uint64), rows["power"].to_numpy().astype(np.uint8)
+    order = np.argsort(keys)
+    return keys[order], powers[order]
+
+
+def prefix(own: np.ndarray, keys: np.ndarray, powers: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set by one of which any set that is alike to it can be found."""
+    n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    if len(own) and len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        power = np.where(keys[at] == own, powers[at], 0)
+        if power.any():
+            return own[np.argsort(power, kind="stable")[:n]]
+    return own[:n]
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit, turned by each shingle that falls on it, for about each half of a shingle; a power of two of bits."""
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    turned = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can have that similarity."""
+    if min(n, m) < similarity * max(n, m):
+        return False
+    x, y = sorted((int.from_bytes(a, "little"), int.from_bytes(b, "little")), key=int.bit_length) if len(a) == len(b) else (int.from_bytes(min(a, b, key=len), "little"), int.from_bytes(max(a, b, key=len), "little"))
+    bits, less = 8 * max(len(a), len(b)), 8 * min(len(a), len(b))
+    while bits > less:  # the longer one as it were if it were shorter
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count() <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def maybe(similarity: float):
+    def run(batches):
+        for x in batches:
+            hit = pa.array([may_be_alike(*row, similarity) for row in zip(*(x.column(i).to_pylist() for i in (2, 4, 3, 5)), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(hit), x.column(1).filter(hit)], ["a", "b"])
+
+    return run
 
 
-def signatures(width: int):
-    """Of each text the hash of its shingle set, in two halves, and its band keys."""
+def signatures(width: int, similarity: float, common):
+    """Of each text the hash of its shingle set, in two halves, its prefix, its size and its bitmap."""
 
     def run(batches):
+        keys, powers = common.value
         for x in batches:
-            halves, keys = [], []
-            for t in texts_of(x.column(1)):
-                own = np.unique(np.array(text_hashes(t, width), np.uint64))
-                halves.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes(), SEED), np.int64))
-                keys.append(bands(own).view(np.int64))
-            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            a, b = (pa.array(np.array([h[i] for h in halves], np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([x.column(0), a, b, flat], ["doc_id", "half", "other", "keys"])
+            for first, sets in shingle_sets(texts_of(x.column(1)), width):
+                halves = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), SEED), np.int64) for s in sets])
+                own = [prefix(s, keys, powers, similarity).view(np.int64) for s in sets]
+                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([x.column(0).slice(first, len(sets)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), flat, pa.array([len(x) for x in sets], pa.int32()), pa.array(map(bitmap, sets), pa.binary())], ["doc_id", "half", "other", "keys", "size", "bits"])
 
     return run
 
@@ -348,28 +414,35 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Texts without words are alike.  A document without an id stays.  Rows that share a doc_id are one document and
     stay or go together.
 
-    Of equal shingle sets only the least doc_id is looked at.  The others are compared where they share a band key (see
-    above), by their whole sets.  Each round compares all members of a key with its first LEADS, not all with all; those first ones are
-    decided, and the others go on among themselves with LEADS times as many.
+    Of equal shingle sets only the least doc_id is looked at.  The others are compared where their prefixes share a shingle
+    (see above), by their whole sets.  Each round compares all members of a key with its first LEADS, not all with all; those
+    first ones are decided, and the others go on among themselves with LEADS times as many.
     """
     id_type, n = docs.schema[doc_id].dataType.simpleString(), parts(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    own = keep(texts.mapInArrow(signatures(width), f"doc_id {id_type}, half long, other long, keys array<long>"))
+    common = docs.sparkSession.sparkContext.broadcast(frequent(texts, width))
+    own = keep(texts.mapInArrow(signatures(width, similarity, common), f"doc_id {id_type}, half long, other long, keys array<long>, size int, bits binary"))
     firsts = keep(own.groupBy("half", "other").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     lost = own.select("doc_id").join(firsts, "doc_id", "left_anti").distinct()
     of = lambda ids: own.join(ids, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
-    live, drawn, leads = of(firsts), None, LEADS
+    live, leads = of(firsts), LEADS
+    side = lambda table, name, *columns: table.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    pair = f"a {id_type}, b {id_type}"
     while True:
-        pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads), f"a {id_type}, b {id_type}")
+        pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads), pair)
         pairs = keep(pairs.distinct())
         unmet, pairs = pairs.where("a is null").select(F.col("b").alias("doc_id")), pairs.where("a < b")
-        if drawn is None:
-            members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            drawn = keep(texts.join(members, "doc_id").mapInArrow(whole_sets(width), f"doc_id {id_type}, hashes binary"))
-        # written, so that the join on a reads both sides plainly and adaptive execution can split a large group
-        half = keep(pairs.join(drawn.select(F.col("doc_id").alias("b"), F.col("hashes").alias("other")), "b").select("a", "b", "other"))
-        whole = half.join(drawn.select(F.col("doc_id").alias("a"), F.col("hashes").alias("first")), "a").select("a", "b", "first", "other")
-        edges = keep(keep(whole.mapInArrow(too_alike(similarity), f"a {id_type}, b {id_type}")).distinct())
+        # each half is written, so that the join on a reads both sides plainly and adaptive execution can split a large group
+        half = keep(pairs.join(side(own, "b", "bits", "size"), "b"))
+        near = half.join(side(own, "a", "bits", "size"), "a").select("a", "b", "bits_a", "size_a", "bits_b", "size_b")
+        pairs = keep(near.mapInArrow(maybe(similarity), pair).distinct())
+        members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        drawn = keep(texts.join(members, "doc_id").mapInArrow(whole_sets(width), f"doc_id {id_type}, hashes binary"))
+        discard(half)
+        half = keep(pairs.join(side(drawn, "b", "hashes"), "b"))
+        whole = half.join(side(drawn, "a", "hashes"), "a").select("a", "b", "hashes_a", "hashes_b")
+        edges = keep(whole.mapInArrow(too_alike(similarity), pair).distinct())
+        discard(half, drawn)
         gone, undecided = settle(edges, unmet)
         lost = lost.unionByName(gone)
         if undecided.isEmpty():
