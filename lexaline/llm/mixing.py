@@ -14,8 +14,8 @@ evenly from a seeded start.  How much of a document lies in taken blocks follows
 token's place alone, so nothing is written per block.
 
 The documents' sizes are counted once and written; they meet in one shuffle, by source and shard, of a
-few numbers each.  A source that holds a third of the corpus has many shards.  The driver has one row per
-shard, and a source has MAX_SHARDS at most, beyond which its shards grow.
+few numbers each.  With keep_columns the texts are shuffled once, to meet their shares.  A source that holds a third of the corpus has many shards.  The driver has one row per source and one per
+shard; all sources together have MAX_SHARDS and one each at most, beyond which shards grow.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import keep
 
-BLOCK, SHARD_DOCS, MAX_SHARDS, MAX_REPEATS, SEED, WEIGHTS = 16, 500, 1 << 14, 3, 17, (5, 2, 1)
+BLOCK, SHARD_DOCS, MAX_SHARDS, MAX_REPEATS, SEED, WEIGHTS = 16, 500, 1 << 16, 3, 17, (5, 2, 1)
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], cap: int = MAX_REPEATS) -> list[float]:
@@ -94,19 +94,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Returns doc_id, size, source_size, target, taken, source, shard, quota (blocks of its shard).  size is
     the number of words (null: 0).  taken counts repeats, is at most cap times size, and is 0 for a
     document without words; a source without words has target 0.  Null is a source like any other.  Rows
-    with the same doc_id, or none, are each a document; their order in the shard is settled by text.
+    with the same doc_id, or none, are each a document; their order in the shard is settled by text.  Rows of equal
+    doc_id, text and source are told apart in one task, which sorts their numbers.
     An empty table gives no rows.  The same rows give the same result in whatever order they come.  Other
     columns are ignored; with keep_columns the rows of docs come with all their columns, followed by size,
     source_size, target and taken, which take the place of columns of these names.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    numbers = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text))).alias("draw")]
+    numbers = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("draw")]
     own = keep(docs.select(*numbers))
     per = sorted(own.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect(), key=lambda r: _order(r["source"]))
-    shares = targets([r["size"] for r in per], [weights[i % len(weights)] for i in range(len(per))], cap)
-    dealt = spark.createDataFrame([(r["source"], int(r["size"]), t, min(MAX_SHARDS, -(-r["docs"] // shard_docs))) for r, t in zip(per, shares, strict=True)], T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.LongType())]))
-    placed = own.join(F.broadcast(dealt), own["source"].eqNullSafe(dealt["source"])).select("doc_id", own["source"], "size", "draw", "source_size", "target", F.pmod(F.shiftright("draw", 20), "shards").alias("shard"))
+    shares, every = targets([r["size"] for r in per], [weights[i % len(weights)] for i in range(len(per))], cap), sum(r["docs"] for r in per)
+    dealt = spark.createDataFrame([(r["source"], int(r["size"]), t, min(-(-r["docs"] // shard_docs), max(1, MAX_SHARDS * r["docs"] // every))) for r, t in zip(per, shares, strict=True)], T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.LongType())]))
+    placed = own.join(dealt, own["source"].eqNullSafe(dealt["source"])).select("doc_id", own["source"], "size", "draw", "source_size", "target", F.pmod(F.shiftright("draw", 20), "shards").alias("shard"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).toArrow().to_pylist()
     shards.sort(key=lambda r: (_order(r["source"]), r["shard"]))
     blocks = np.array([-(-r["shard_size"] // block) for r in shards], np.int64)
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         pa.table({"source": pa.array([r["source"] for r in shards], pa.string()), "shard": pa.array([r["shard"] for r in shards], pa.int64()), "blocks": pa.array(blocks, pa.int64()), "quota": pa.array(quotas, pa.int64())}))
     line = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = placed.withColumn("end", F.sum("size").over(line))
-    at = ends.join(F.broadcast(given), ends["source"].eqNullSafe(given["source"]) & (ends["shard"] == given["shard"])).drop(given["source"]).drop(given["shard"])
+    at = ends.join(given, ends["source"].eqNullSafe(given["source"]) & (ends["shard"] == given["shard"])).drop(given["source"]).drop(given["shard"])
     n = F.greatest("blocks", F.lit(1))
     start = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), n)
 
@@ -131,10 +132,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     out = at.select("doc_id", "size", "source_size", "target", (before("end") - before("begin")).cast("long").alias("taken"), "source", "shard", "quota", "draw")
     if not keep_columns:
         return out.drop("draw")
-    # each row's share comes back by the numbers that gave it its place, and its count among rows that share them
+    # each row's share comes back by the numbers that gave it its place; rows that have all of them alike are dealt their shares in
+    # order of their other columns
     marks = ["doc_id", "source", "size", "draw"]
-    nth = F.row_number().over(Window.partitionBy(*marks).orderBy(F.lit(1)))
+    taken = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sort_array(F.collect_list("taken"), asc=False))
+    shares = keep(out.groupBy(*marks).agg(taken.alias("takens"), F.first("source_size").alias("source_size"), F.first("target").alias("target")))
     drawn = docs.select(F.struct(*(c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken"))).alias("row"), *numbers)
-    a, b = drawn.withColumn("nth", nth), out.withColumn("nth", nth).withColumnsRenamed({c: f"_{c}" for c in (*marks, "nth")})
-    joined = a.join(b, [a[c].eqNullSafe(b[f"_{c}"]) for c in (*marks, "nth")])
-    return joined.select("row.*", a["size"], "source_size", "target", "taken")
+
+    def told(some: DataFrame, nth) -> DataFrame:
+        own = some.withColumnsRenamed({c: f"_{c}" for c in marks})
+        joined = drawn.join(own.hint("shuffle_hash"), [drawn[c].eqNullSafe(own[f"_{c}"]) for c in marks])
+        return joined.withColumn("nth", nth).select("row.*", "size", "source_size", "target", F.element_at("takens", F.col("nth")).alias("taken"))
+
+    line = Window.partitionBy(*marks).orderBy(F.xxhash64("row"))
+    return told(shares.where("size(takens) = 1"), F.lit(1)).unionByName(told(shares.where("size(takens) > 1"), F.row_number().over(line)))
