@@ -9,11 +9,9 @@ one row per chunk, and no task holds more than a chunk's texts or a shard's keys
 from __future__ import annotations
 
 import math
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,19 +104,10 @@ def texts_of(column: pa.ChunkedArray) -> list[bytes]:
 class Vocabulary(dict):
     """Word to its number, in order of first sight."""
 
-    def __init__(self):
-        self._hashes = np.empty(0, np.uint64)
-
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
-    def hashes(self) -> np.ndarray:
-        """The 64-bit hash of each number's word."""
-        if (have := len(self._hashes)) < len(self):
-            self._hashes = np.concatenate((self._hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, islice(self, have, None)), np.uint64, len(self) - have)))
-        return self._hashes
-
 
 def numbered(texts: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """All texts' words as numbers, end to end, and where each text begins, with the end of the last."""
@@ -146,6 +135,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+BLANK = np.zeros(256, bool)
+BLANK[[*range(9, 14), 32]] = True
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, end to end, and where each text begins among them, with the end of the last;
+    where each word begins and ends in the texts joined by a line end."""
+    a = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = BLANK[a]
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    begin, end = edge[::2], edge[1::2]
+    size = end - begin
+    at = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    if not len(begin):
+        return np.empty(0, np.uint64), at, begin, end
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    powers = np.cumprod(np.full(int(size.max()), 0x9FB21C651E98DF25, np.uint64))
+    h = np.add.reduceat((a[~blank].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    return mixed(mixed(h) + size.astype(np.uint64)), at, begin, end
+
+
 def merged(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct sorted keys and each column's sum over equal keys."""
     if not len(keys):

@@ -33,22 +33,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, chunk_count, chunk_of, discard, integer_id, keep, mixed, numbered, pack, rolled, texts_of, unpack
+from .common import Vocabulary, chunk_count, chunk_of, discard, hashed_words, integer_id, keep, mixed, numbered, pack, rolled, texts_of, unpack
 
-WINDOW, PHRASE, PATTERNS, BLOCK = 50, 20, 20_000, 4 << 20
+WINDOW, PHRASE, PATTERNS, BLOCK = 50, 20, 20_000, 2 << 20
 #: A word is DIGITS symbols of BASE in an automaton, whose nodes then have few children; OTHER stands in words of no phrase.
 BASE, DIGITS, OTHER = 128, 3, 1000
 
 
-def in_blocks(docs: pa.Table, words: Vocabulary):
-    """(ids, numbers, begins) of the documents that have an id, about BLOCK bytes of text at a time."""
+def in_blocks(docs: pa.Table):
+    """(ids, words' hashes, begins, joined texts, places of the words in them) of the documents that have an id, about BLOCK
+    bytes of text at a time."""
     docs = docs.filter(pa.compute.is_valid(docs["doc_id"]))
     texts, ids = texts_of(docs["text"]), docs["doc_id"].to_numpy().astype(np.int64)
     first = size = 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= BLOCK or i == len(texts) - 1:
-            yield ids[first : i + 1], *numbered(texts[first : i + 1], words)
+            h, at, *places = hashed_words(texts[first : i + 1])
+            yield ids[first : i + 1], h, at, b"\n".join(texts[first : i + 1]), *places
             first, size = i + 1, 0
 
 
@@ -162,9 +164,9 @@ def by_shard(chunk: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, sh
 
 def send_anchors(docs: pa.Table, shards: int, window: int, phrase: int) -> pa.Table:
     """A chunk's distinct anchors with the least and largest doc_id that holds them."""
-    keys, of, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], Vocabulary()
-    for ids, numbers, at in in_blocks(docs, words):
-        p = phrases(words.hashes()[numbers], phrase)
+    keys, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for ids, h, at, *_ in in_blocks(docs):
+        p = phrases(h, phrase)
         spots = anchors(p, at, window, phrase)
         keys.append(p[spots])
         of.append(ids[np.searchsorted(at, spots, "right") - 1])
@@ -192,9 +194,8 @@ def send_windows(docs: pa.Table, found: pa.Table, shards: int, window: int, phra
     if not docs.num_rows or not found.num_rows:
         return SENT.empty_table()
     known = np.sort(np.concatenate([keys_of(b, False) for b in found["keys"].to_pylist()]))
-    keys, of, words = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], Vocabulary()
-    for ids, numbers, at in in_blocks(docs, words):
-        h = words.hashes()[numbers]
+    keys, of = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)]
+    for ids, h, at, *_ in in_blocks(docs):
         p = phrases(h, phrase)
         spots = anchors(p, at, window, phrase)
         spots = spots[known[np.minimum(np.searchsorted(known, p[spots]), len(known) - 1)] == p[spots]]
@@ -235,9 +236,9 @@ def send_passages(docs: pa.Table, found: pa.Table, window: int) -> pa.Table:
     low, many, chunks = (np.concatenate([unpack(b, kind) for b in found[c].to_pylist()]) for c, kind in (("low", np.int64), ("many", np.int32), ("chunks", np.int32)))
     begin, order = np.cumsum(many) - many, in_order(keys)
     keys, low, many, begin = keys[order], low[order], many[order], begin[order]
-    words, out = Vocabulary(), {}
-    for ids, numbers, at in in_blocks(docs, words):
-        w = windows(words.hashes()[numbers], window)
+    out: dict[int, set] = {}
+    for ids, h, at, joined, start, stop in in_blocks(docs):
+        w = windows(h, window)
         place = np.flatnonzero(fits(at, window)[: len(w)])
         row = found_at(keys, w[place])
         doc = np.searchsorted(at, place, "right") - 1
@@ -253,10 +254,10 @@ def send_passages(docs: pa.Table, found: pa.Table, window: int) -> pa.Table:
         target, place, doc = target[order], place[order], doc[order]
         # windows whose words touch make one passage
         new = np.flatnonzero(np.concatenate(([True], (np.diff(target) != 0) | (np.diff(doc) != 0) | (np.diff(place) > window))))
-        names, made = list(words), {}
+        made: dict[tuple[int, int], bytes] = {}
         for t, i, a, b in zip(target[new].tolist(), ids[doc[new]].tolist(), place[new].tolist(), (np.append(place[new[1:] - 1], place[-1]) + window).tolist(), strict=True):
             if (a, b) not in made:
-                made[a, b] = b" ".join([names[k] for k in numbers[a:b].tolist()])
+                made[a, b] = b" ".join(joined[start[a] : stop[b - 1]].split())
             out.setdefault(t, set()).add((i, made[a, b]))
     squeeze = zstandard.ZstdCompressor(level=1).compress
     rows = [{"chunk": t, "owners": pack(np.array([i for i, _ in some], np.int64)), "texts": squeeze(b"\n".join([x for _, x in some]))} for t, some in ((t, sorted(s)) for t, s in out.items())]

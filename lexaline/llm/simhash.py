@@ -33,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, components, discard, forest, keep, mixed, numbered, parts, rolled, texts_of
+from .common import components, discard, forest, hashed_words, keep, mixed, parts, rolled, texts_of
 
 SHINGLE, BITS, SEED, FEW, HOT = 3, 2, 42, 256, 1 << 14
-LEADS, HELD, FREQUENT, BLOCK = 4, 32, 1 << 20, 4 << 20
+LEADS, HELD, FREQUENT, BLOCK = 4, 32, 1 << 20, 2 << 20
 
 
 def text_hashes(text: bytes, width: int) -> list[int]:
@@ -238,17 +238,14 @@ def shingle_sets(texts: list[bytes], width: int):
 
     Words are A-Z lower-cased; a text of fewer words has one shingle of all of them, one without words has none.
     """
-    words, first, size = Vocabulary(), 0, 0
+    first = size = 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= BLOCK or i == len(texts) - 1:
-            numbers, at = numbered([x.lower() for x in texts[first : i + 1]], words)
-            h = words.hashes()[numbers]
+            h, at, *_ = hashed_words([x.lower() for x in texts[first : i + 1]])
             every, at = mixed(rolled(h, width, 0x9E3779B97F4A7C15)), at.tolist()
             yield first, [np.unique(every[a : b - width + 1]) if b - a >= width else mixed(rolled(h[a:b], b - a, 0xD6E8FEB86659FD93)) if b > a else every[:0] for a, b in zip(at, at[1:], strict=False)]
             first, size = i + 1, 0
-            if len(words) > 1 << 20:
-                words = Vocabulary()
 
 
 def whole_sets(width: int):
