@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import components, discard, forest, hashed_words, keep, mixed, parts, rolled, texts_of
 
 SHINGLE, BITS, SEED, FEW, HOT = 3, 2, 42, 256, 1 << 14
-LEADS, HELD, FREQUENT, BLOCK = 4, 32, 1 << 20, 2 << 20
+LEADS, MORE, HELD, FREQUENT, BLOCK = 4, 16, 32, 1 << 20, 2 << 20
 
 
 def text_hashes(text: bytes, width: int) -> list[int]:
@@ -357,17 +357,19 @@ def too_alike(similarity: float):
     return run
 
 
-def met(leads: int):
-    """Over rows (key, doc_id) in that order: (a, b) for each row b and each a of the first `leads` of its key that come
-    before it; b with a null if it is itself none of those first ones."""
+def met(leads: int, similarity: float):
+    """Over rows (key, doc_id, size) in order of the first two: (a, b) for each row b and each a of the first `leads` of its
+    key that come before it, unless their sizes alone keep them from being alike; b with a null if it is itself none of
+    those first ones."""
 
     def run(batches):
-        key, ids, done = np.empty(0, np.int64), None, 0  # the first rows of the key that may go on, and how many
+        key, ids, n, done = np.empty(0, np.int64), None, np.empty(0, np.int32), 0  # the first rows of the key that may go on, and how many
         for x in batches:
             if not x.num_rows:
                 continue
             key = np.concatenate((key, x.column(0).to_numpy(zero_copy_only=False)))
             ids = x.column(1) if ids is None else pa.concat_arrays([ids, x.column(1)])
+            n = np.concatenate((n, x.column(2).to_numpy(zero_copy_only=False)))
             at = np.arange(len(key))
             start = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
             at, first = at[done:], start[done:]
@@ -376,11 +378,12 @@ def met(leads: int):
                 at, first = at[more], first[more]
                 if not len(at):
                     break
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + j)), ids.take(pa.array(at))], ["a", "b"])
+                near = np.minimum(n[first + j], n[at]) >= similarity * np.maximum(n[first + j], n[at])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[near] + j)), ids.take(pa.array(at[near]))], ["a", "b"])
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(at), ids.type), ids.take(pa.array(at))], ["a", "b"])
             done = min(leads, len(key) - int(start[-1]))
-            key, ids = key[start[-1] : start[-1] + done], ids.slice(int(start[-1]), done)
+            key, ids, n = key[start[-1] : start[-1] + done], ids.slice(int(start[-1]), done), n[start[-1] : start[-1] + done]
 
     return run
 
@@ -413,7 +416,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     Of equal shingle sets only the least doc_id is looked at.  The others are compared where their prefixes share a shingle
     (see above), by their whole sets.  Each round compares all members of a key with its first LEADS, not all with all; those
-    first ones are decided, and the others go on among themselves with LEADS times as many.
+    first ones are decided, and the others go on among themselves with MORE times as many.
     """
     id_type, n = docs.schema[doc_id].dataType.simpleString(), parts(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
@@ -421,12 +424,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     own = keep(texts.mapInArrow(signatures(width, similarity, common), f"doc_id {id_type}, half long, other long, keys array<long>, size int, bits binary"))
     firsts = keep(own.groupBy("half", "other").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     lost = own.select("doc_id").join(firsts, "doc_id", "left_anti").distinct()
-    of = lambda ids: own.join(ids, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
+    of = lambda ids: own.join(ids, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id", "size")
     live, leads = of(firsts), LEADS
     side = lambda table, name, *columns: table.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
     pair = f"a {id_type}, b {id_type}"
     while True:
-        pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads), pair)
+        pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads, similarity), pair)
         pairs = keep(pairs.distinct())
         unmet, pairs = pairs.where("a is null").select(F.col("b").alias("doc_id")), pairs.where("a < b")
         # each half is written, so that the join on a reads both sides plainly and adaptive execution can split a large group
@@ -444,5 +447,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         lost = lost.unionByName(gone)
         if undecided.isEmpty():
             break
-        live, leads = of(undecided), leads * LEADS
+        live, leads = of(undecided), leads * MORE
     return docs.join(keep(lost).withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")
