@@ -5,8 +5,9 @@ tokens; a target stops at MAX_REPEATS times its source's size, and the excess is
 among the others until none is above.
 
 Quotas: a source's documents are dealt by a seeded hash to shards of about SHARD_DOCS documents.  The
-blocks of BLOCK tokens go one by one to the shard with the highest quotient votes / (2 blocks + 1), a
-shard's votes being its share of its source's target.
+source's blocks of BLOCK tokens go one by one to its shard with the highest quotient votes / (2 blocks + 1), a
+shard's votes being its number of blocks.  The last block of a shard is short, so how many go is settled by
+the tokens that they have: as many as bring the source nearest to its target, within half a block.
 
 Blocks: in a shard the documents lie end to end in seeded order, cut into blocks of BLOCK tokens.  A shard
 with n blocks and a quota of q takes every block q div n times, and q mod n of them once more, spread
@@ -23,6 +24,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,30 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return got
 
 
+def words_of(quotas: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, starts: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Words that shards' quotas take: all blocks are full but the last, of which the rest of the quota begins at starts."""
+    whole, rest = np.divmod(quotas, np.maximum(blocks, 1))
+    return block * quotas - (whole + (starts < rest)) * (block * blocks - sizes)
+
+
+def nearest(target: float, blocks: np.ndarray, sizes: np.ndarray, starts: np.ndarray, block: int = BLOCK, cap: int = MAX_REPEATS) -> np.ndarray:
+    """The quotas of one source's shards whose words come nearest to its target.
+
+    One more seat takes one more block, of 1 to `block` words, so two numbers of seats that follow each other enclose the target.
+    """
+
+    def at(seats: int) -> tuple[float, np.ndarray]:
+        quotas = sainte_lague(blocks, seats, cap * blocks)
+        return float(words_of(quotas, blocks, sizes, starts, block).sum()) - target, quotas
+
+    low = max(0, int(target // block) - 1)  # blocks have no more words than that, and are short cap times a shard at most
+    high = min(cap * int(blocks.sum()), low + 2 + cap * len(blocks))
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if at(mid)[0] < 0 else (low, mid)
+    return min(at(low), at(high), key=lambda x: abs(x[0]))[1]
+
+
 def _order(name: str | None):
     return (name is None, [] if name is None else [ord(c) for c in name])
 
@@ -108,11 +134,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     shares, every = targets([r["size"] for r in per], [weights[i % len(weights)] for i in range(len(per))], cap), sum(r["docs"] for r in per)
     dealt = spark.createDataFrame([(r["source"], int(r["size"]), t, min(-(-r["docs"] // shard_docs), max(1, MAX_SHARDS * r["docs"] // every))) for r, t in zip(per, shares, strict=True)], T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.LongType())]))
     placed = own.join(dealt, own["source"].eqNullSafe(dealt["source"])).select("doc_id", own["source"], "size", "draw", "source_size", "target", F.pmod(F.shiftright("draw", 20), "shards").alias("shard"))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).toArrow().to_pylist()
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    shards = shards.withColumn("drawn", F.xxhash64(F.lit(seed), "source", "shard")).toArrow().to_pylist()
     shards.sort(key=lambda r: (_order(r["source"]), r["shard"]))
-    blocks = np.array([-(-r["shard_size"] // block) for r in shards], np.int64)
-    votes = np.array([r["target"] / r["source_size"] if r["source_size"] else 0.0 for r in shards]) * blocks
-    quotas = sainte_lague(votes, round(votes.sum()), cap * blocks)
+    sizes = np.array([r["shard_size"] for r in shards], np.int64)
+    blocks = -(-sizes // block)
+    starts = np.array([r["drawn"] for r in shards], np.int64) % np.maximum(blocks, 1)
+    quotas, first = np.zeros(len(shards), np.int64), 0
+    for _, own in groupby(shards, key=lambda r: r["source"]):
+        own = list(own)
+        at = slice(first, first := first + len(own))
+        quotas[at] = nearest(own[0]["target"], blocks[at], sizes[at], starts[at], block, cap)
     given = spark.createDataFrame(
         pa.table({"source": pa.array([r["source"] for r in shards], pa.string()), "shard": pa.array([r["shard"] for r in shards], pa.int64()), "blocks": pa.array(blocks, pa.int64()), "quota": pa.array(quotas, pa.int64())}))
     line = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexaline.llm import classifier, ctw, decontaminate, lines, mixing, passages, quality, secrets, simhash, warc
 
@@ -796,6 +797,16 @@ def test_mix_of_rows_that_share_an_id(spark):
     assert sum(r[-1] for r in first) == plain
 
 
+def test_mix_comes_near_over_many_shards(spark):
+    """The short last blocks of very many shards don't add up, and no source's blocks go to another."""
+    text = F.array_join(F.array_repeat(F.lit("w"), (F.col("doc_id") * F.col("doc_id") % 37).cast("int")), " ")
+    df = spark.range(12_000).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), F.concat(F.lit("s"), F.col("doc_id") % 7 % 5).alias("source"))
+    out = mixing.mix(df, shard_docs=5)
+    for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.countDistinct("shard").alias("shards")).collect():
+        assert abs(r["taken"] - r["target"]) <= mixing.BLOCK / 2 and r["shards"] > 300
+    assert out.where("taken > 3 * size").count() == 0
+
+
 def test_texts_of_a_megabyte(spark):
     """Operators on two near copies of over a megabyte, in few words of a large vocabulary and in one single word."""
     rng = random.Random(12)
