@@ -13,11 +13,12 @@ many by looking up the neighbours of each one within the key.  A key with more t
 indexed once more, by the bits outside its segment cut in the same way; with two segments of 32 bits
 what meets then agrees on all but 18 bits, so no group exceeds 2**18, whatever the corpus.
 
-one_of_each() goes by the similarity of the shingle sets, for which one fingerprint is too coarse: at 0.8 two of them
-differ in about 10 bits.  Its candidates are those of prefix filtering, which misses none: put all shingles in one order,
-and two sets of similarity s share one of the first n - ceil(s n) + 1 of either (Chaudhuri, Ganti, Kaushik: A primitive
-operator for similarity joins, 2006).  The order has frequent shingles last, so that texts do not meet for a passage
-that very many hold.  Which are frequent is counted in each task and summed; at most FREQUENT of them are told apart,
+one_of_each() goes by the similarity of the shingle sets.  The classes above come first: a document that is alike to the
+least of its class, by whole sets, is gone for good if that one can have no lesser candidate.  One fingerprint is too coarse
+to find the others: at 0.8 two of them differ in about 10 bits.  The exact way for these is prefix filtering, which misses none: put
+all shingles in one order, and two sets of similarity s share one of the first n - ceil(s n) + 1 of either (Chaudhuri, Ganti,
+Kaushik: A primitive operator for similarity joins, 2006).  The order has frequent shingles last, so that texts do not meet for a passage
+that very many hold, and texts that meet at a shingle after which too few are left are no candidates.  Which are frequent is counted in each task and summed; at most FREQUENT of them are told apart,
 by powers of two, and any order whatever gives the same answer.  Candidates are told apart by bitmaps first, in which
 each shingle turns one bit: two sets differ in as many shingles at least as their bitmaps in bits.
 """
@@ -214,6 +215,16 @@ def link(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     return edges
 
 
+def classes(own: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """doc_id, print, component_id for rows of doc_id and print, which are written already."""
+    distinct = keep(own.groupBy("print").agg(F.min("doc_id").alias("least")))
+    roots = components(link(distinct, bits, hot))
+    classed = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    answer = keep(classed.join(least, "root").select("print", "component_id"))
+    return own.join(answer, "print").select("doc_id", "print", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """The class of near copies of every document.
 
@@ -225,12 +236,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     own = keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(fingerprints(width), f"doc_id {id_type}, print long"))
-    distinct = keep(own.groupBy("print").agg(F.min("doc_id").alias("least")))
-    roots = components(link(distinct, bits, hot))
-    classed = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = keep(classed.join(least, "root").select("print", "component_id"))
-    return own.join(answer, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    return classes(own, bits, hot).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_sets(texts: list[bytes], width: int):
@@ -360,16 +366,22 @@ def too_alike(similarity: float):
 def met(leads: int, similarity: float):
     """Over rows (key, doc_id, size) in order of the first two: (a, b) for each row b and each a of the first `leads` of its
     key that come before it, unless their sizes alone keep them from being alike; b with a null if it is itself none of
-    those first ones."""
+    those first ones.
+
+    A fourth column says how many shingles of the set are left from this one on, in the order of all.  If two sets share none
+    before it they have at most as many in common as either has left; where that is too few nothing is lost, since sets that
+    share one before it meet there.
+    """
 
     def run(batches):
-        key, ids, n, done = np.empty(0, np.int64), None, np.empty(0, np.int32), 0  # the first rows of the key that may go on, and how many
+        key, ids, n, left, done = np.empty(0, np.int64), None, np.empty(0, np.int32), np.empty(0, np.int32), 0  # the first rows of the key that may go on, and how many
         for x in batches:
             if not x.num_rows:
                 continue
             key = np.concatenate((key, x.column(0).to_numpy(zero_copy_only=False)))
             ids = x.column(1) if ids is None else pa.concat_arrays([ids, x.column(1)])
             n = np.concatenate((n, x.column(2).to_numpy(zero_copy_only=False)))
+            left = np.concatenate((left, x.column(min(3, x.num_columns - 1)).to_numpy(zero_copy_only=False)))
             at = np.arange(len(key))
             start = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
             at, first = at[done:], start[done:]
@@ -379,11 +391,12 @@ def met(leads: int, similarity: float):
                 if not len(at):
                     break
                 near = np.minimum(n[first + j], n[at]) >= similarity * np.maximum(n[first + j], n[at])
+                near &= np.minimum(left[first + j], left[at]) >= (n[first + j] + n[at]) * (similarity / (1 + similarity)) - 1e-6
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[near] + j)), ids.take(pa.array(at[near]))], ["a", "b"])
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(at), ids.type), ids.take(pa.array(at))], ["a", "b"])
             done = min(leads, len(key) - int(start[-1]))
-            key, ids, n = key[start[-1] : start[-1] + done], ids.slice(int(start[-1]), done), n[start[-1] : start[-1] + done]
+            key, ids, n, left = key[start[-1] : start[-1] + done], ids.slice(int(start[-1]), done), n[start[-1] : start[-1] + done], left[start[-1] : start[-1] + done]
 
     return run
 
@@ -406,7 +419,7 @@ def settle(edges: DataFrame, unmet: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone, keep(unmet.unionByName(edges.select(F.col("b").alias("doc_id"))).distinct().join(gone, "doc_id", "left_anti"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bits: int = BITS) -> DataFrame:
     """Documents, with all their columns, without those that are near copies of one that stays.
 
     In order of doc_id, a document goes if the similarity of its shingles of `width` words to those of a lesser one that
@@ -414,9 +427,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Texts without words are alike.  A document without an id stays.  Rows that share a doc_id are one document and
     stay or go together.
 
-    Of equal shingle sets only the least doc_id is looked at.  The others are compared where their prefixes share a shingle
-    (see above), by their whole sets.  Each round compares all members of a key with its first LEADS, not all with all; those
-    first ones are decided, and the others go on among themselves with MORE times as many.
+    Of equal shingle sets only the least doc_id is looked at.  SimHash links of `bits` or fewer bits give their classes.  The
+    least of a class stays for sure if it is the least under every shingle of its prefix; then all of its class that are alike to
+    it, by their whole sets, go.  The rest are compared where their prefixes share a shingle (see above), by their whole
+    sets.  Each round compares all members of a key with its first LEADS, not all with all; those first ones are decided, and the
+    others go on among themselves with MORE times as many.
     """
     id_type, n = docs.schema[doc_id].dataType.simpleString(), parts(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
@@ -424,14 +439,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     own = keep(texts.mapInArrow(signatures(width, similarity, common), f"doc_id {id_type}, half long, other long, keys array<long>, size int, bits binary"))
     firsts = keep(own.groupBy("half", "other").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     lost = own.select("doc_id").join(firsts, "doc_id", "left_anti").distinct()
-    of = lambda ids: own.join(ids, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id", "size")
-    live, leads = of(firsts), LEADS
+    of = lambda ids: own.join(ids, "doc_id", "left_semi").select(F.posexplode("keys").alias("pos", "key"), "doc_id", "size").select("key", "doc_id", "size", (F.col("size") - F.col("pos")).alias("left"))
     side = lambda table, name, *columns: table.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
     pair = f"a {id_type}, b {id_type}"
-    while True:
-        pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads, similarity), pair)
-        pairs = keep(pairs.distinct())
-        unmet, pairs = pairs.where("a is null").select(F.col("b").alias("doc_id")), pairs.where("a < b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are alike."""
         # each half is written, so that the join on a reads both sides plainly and adaptive execution can split a large group
         half = keep(pairs.join(side(own, "b", "bits", "size"), "b"))
         near = half.join(side(own, "a", "bits", "size"), "a").select("a", "b", "bits_a", "size_a", "bits_b", "size_b")
@@ -443,7 +456,21 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         whole = half.join(side(drawn, "a", "hashes"), "a").select("a", "b", "hashes_a", "hashes_b")
         edges = keep(whole.mapInArrow(too_alike(similarity), pair).distinct())
         discard(half, drawn)
-        gone, undecided = settle(edges, unmet)
+        return edges
+
+    prints = keep(texts.mapInArrow(fingerprints(width), f"doc_id {id_type}, print long").where("print <> 0"))  # 0: without words
+    prints = keep(prints.join(firsts, "doc_id", "left_semi"))
+    pairs = keep(classes(prints, bits).where("component_id < doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    heads = of(pairs.select(F.col("a").alias("doc_id")).distinct()).select("key", F.col("doc_id").alias("a"))
+    behind = heads.join(of(firsts).groupBy("key").agg(F.min("doc_id").alias("least")), "key").where("least < a").select("a").distinct()
+    near = verified(keep(pairs.join(behind, "a", "left_anti"))).select(F.col("b").alias("doc_id")).distinct()
+    lost = lost.unionByName(near)
+    live, leads = of(keep(firsts.join(near, "doc_id", "left_anti"))), LEADS
+    while True:
+        pairs = live.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(met(leads, similarity), pair)
+        pairs = keep(pairs.distinct())
+        unmet = pairs.where("a is null").select(F.col("b").alias("doc_id"))
+        gone, undecided = settle(verified(pairs.where("a < b")), unmet)
         lost = lost.unionByName(gone)
         if undecided.isEmpty():
             break

@@ -438,6 +438,37 @@ def test_one_of_each_is_exact_for_long_texts(spark):
     assert len(want) == 36 and stays(spark, texts) == want
 
 
+def test_one_of_each_goes_by_simhash_first(spark, monkeypatch):
+    """With prefix filtering off, near copies go if their fingerprints link them to the least of a class that surely stays."""
+    rng, texts, other = random.Random(6), {}, {}
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        texts[100 + i] = " ".join(words)
+        words[9 : 9 + 90 * (i % 9) : 90] = ["other"] * (i % 9)
+        texts[200 + i] = " ".join(words) + " end"
+    for i in range(0, 40, 3):  # a lesser one, alike and not linked, so that this class is not settled by its least
+        words = texts[100 + i].split()
+        words[5:1500:70] = ["x"] * len(words[5:1500:70])
+        other[i] = " ".join(words)
+    prints = {i: simhash.fingerprint(simhash.text_hashes(t.encode(), 5)) for i, t in (texts | other).items()}
+    far = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    assert all(far(i, 100 + i) > 2 and far(i, 200 + i) > 2 for i in other)
+    linked = {200 + i for i in range(40) if far(100 + i, 200 + i) <= 2}
+    assert 10 < len(linked) < 40 and any(i - 200 in other for i in linked)
+    want = alike_brute(texts | other)
+    assert len(want) == 40 and stays(spark, texts | other) == want
+
+    def none(leads, similarity):
+        def run(batches):
+            for x in batches:
+                yield pa.RecordBatch.from_arrays([x.column(1).slice(0, 0), x.column(1).slice(0, 0)], ["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "met", none)
+    assert stays(spark, texts | other) == sorted({*texts, *other} - {i for i in linked if i - 200 not in other})
+
+
 def test_met_rows_go_on_over_batches():
     rng = random.Random(2)
     rows = sorted((rng.randrange(9), i, rng.randrange(70, 130)) for i in range(120))
