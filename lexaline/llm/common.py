@@ -8,6 +8,7 @@ one row per chunk, and no task holds more than a chunk's texts or a shard's keys
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -22,6 +23,8 @@ from ..folders import delete, work_dir
 #: Stored bytes of a table for each chunk.
 CHUNK_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: By default a batch for Python has 10,000 rows or 64 MB, and a worker holds several times that.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +56,23 @@ def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
     return out
 
 
+def in_batches(operator):
+    """What an operator writes, by keep(), sends its rows to Python in batches of about BATCH bytes, so that a worker's memory
+    goes by neither the number of rows nor their size; the setting is put back."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs):
+        conf = docs.sparkSession.conf
+        before = conf.get(BATCH_BYTES)
+        conf.set(BATCH_BYTES, str(BATCH))
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.set(BATCH_BYTES, before)
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, forest, hashed_words, keep, mixed, parts, rolled, texts_of
+from .common import components, discard, forest, hashed_words, in_batches, keep, mixed, parts, rolled, texts_of
 
 SHINGLE, BITS, SEED, FEW, HOT = 3, 2, 42, 256, 1 << 14
 LEADS, MORE, HELD, FREQUENT, BLOCK = 4, 16, 32, 1 << 20, 2 << 20
@@ -257,8 +257,9 @@ def shingle_sets(texts: list[bytes], width: int):
 def whole_sets(width: int):
     def run(batches):
         for x in batches:
-            own = [s.tobytes() for _, sets in shingle_sets(texts_of(x.column(1)), width) for s in sets]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(own, pa.binary())], ["doc_id", "hashes"])
+            for first, sets in shingle_sets(texts_of(x.column(1)), width):
+                own = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([x.column(0).slice(first, len(own)), pa.array(own, pa.binary())], ["doc_id", "hashes"])
 
     return run
 
@@ -419,6 +420,7 @@ def settle(edges: DataFrame, unmet: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone, keep(unmet.unionByName(edges.select(F.col("b").alias("doc_id"))).distinct().join(gone, "doc_id", "left_anti"))
 
 
+@in_batches
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bits: int = BITS) -> DataFrame:
     """Documents, with all their columns, without those that are near copies of one that stays.
 

@@ -438,6 +438,33 @@ def test_one_of_each_is_exact_for_long_texts(spark):
     assert len(want) == 36 and stays(spark, texts) == want
 
 
+def test_one_of_each_takes_batches_by_bytes(spark, monkeypatch):
+    """A batch of 10,000 whole texts or pairs of sets took more memory than two workers have beside an executor's heap."""
+    most, before = 5 << 20, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def small_only(make):
+        def made(*args):
+            inner = make(*args)
+
+            def small(batches):
+                for x in batches:
+                    if x.nbytes > most:
+                        raise ValueError(f"a batch of {x.num_rows} rows and {x.nbytes} bytes")
+                    yield x
+
+            return lambda batches: inner(small(batches))
+
+        return made
+
+    for name in ("repeated", "signatures", "fingerprints", "whole_sets", "too_alike"):
+        monkeypatch.setattr(simhash, name, small_only(getattr(simhash, name)))
+    # document 2n + 1 is 2n with one word more, and 12 MB of text are in one partition
+    words = "concat_ws(' ', transform(sequence(1, 400), i -> concat('w', i + 1000 * (id div 2))), if(id % 2 = 1, 'more', null))"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", f"{words} AS text")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).select("doc_id").collect()) == list(range(0, 3000, 2))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_one_of_each_goes_by_simhash_first(spark, monkeypatch):
     """With prefix filtering off, near copies go if their fingerprints link them to the least of a class that surely stays."""
     rng, texts, other = random.Random(6), {}, {}
